@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing
+from . import decontamination, packing, substring_dedup
 from .common import read
 
 
@@ -14,9 +14,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(found)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.dedup(read(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op6_decontamination": op6_decontamination, "op9_packing": op9_packing}
+QUERIES = {
+    "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op9_packing": op9_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
