@@ -57,3 +57,25 @@ def int_array(x: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
 
 def batch_of(**columns: pa.Array | np.ndarray | list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable over the edges (a, b), for every node that has an edge.
+
+    Alternates large-star and small-star steps: each node's neighbours are linked to its smallest
+    neighbour. Minima are pre-aggregated and joined back, so no neighbourhood is collected; each round is a checkpoint.
+    """
+    e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    for _ in range(most_rounds):
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        e = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        e = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+        e = checkpointed(e)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            return e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.col("m").alias("component"))
+        state = now
+    raise RuntimeError("components did not converge")
