@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, substring_dedup, suffix_dedup
+from . import decontamination, language_model, near_dedup, packing, substring_dedup, suffix_dedup
 from .common import read
 
 
@@ -32,11 +32,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", language_model.fold("doc_id", 5) == 1)
+    model = language_model.train(docs.where("NOT coalesce(held_out, false)"))
+    found = language_model.score(docs, model)
+    return found.select("doc_id", (language_model.fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_packing": op9_packing,
+    "op10_language_model": op10_language_model,
 }
 ORACLE_SQL: dict[str, str] = {}
