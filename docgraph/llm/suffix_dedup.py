@@ -71,6 +71,18 @@ def _gather(buf: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
     return buf[np.repeat(a - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
 
 
+def _portions(contexts: np.ndarray, seed: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Contexts in portions of about SORT_BYTES; those of one seed stay together."""
+    if not len(contexts):
+        return []
+    contexts = contexts[np.argsort(seed[contexts], kind="stable")]
+    load = np.cumsum(size[contexts]) // SORT_BYTES
+    head = np.concatenate(([True], seed[contexts][1:] != seed[contexts][:-1]))
+    group = np.cumsum(head) - 1
+    of_group = load[np.flatnonzero(head)]
+    return np.split(contexts, np.flatnonzero(np.diff(of_group[group])) + 1)
+
+
 def _repeated(text: np.ndarray, start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
     """For each byte of the concatenated contexts, whether the window that starts there occurs twice."""
     sa = suffix_array(text)
@@ -120,12 +132,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             begin = np.cumsum(size) - size
             for shard, part in R.by_group(seed[first] % K.U64(n_batches)):
                 at = first[part]
-                got.append((shard, batch, own[part].tobytes(), twice[part].tobytes(), size[at].astype(np.int32).tobytes(), _gather(text, begin[at], size[at]).tobytes()))
-        shard, source, a, b, c, d = zip(*got, strict=True) if got else [()] * 6
-        binary = pa.binary()
-        return pa.table([pa.array(shard, pa.int32()), pa.array(source, pa.int32()), pa.array(a, binary), pa.array(b, binary), pa.array(c, binary), pa.array(d, binary)], names=["shard", "batch", "prints", "twice", "sizes", "text"])
+                got.append((shard, batch, own[part].tobytes(), seed[at].tobytes(), twice[part].tobytes(), size[at].astype(np.int32).tobytes(), _gather(text, begin[at], size[at]).tobytes()))
+        shard, source, *rest = zip(*got, strict=True) if got else [()] * 7
+        return pa.table([pa.array(shard, pa.int32()), pa.array(source, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], names=["shard", "batch", "prints", "seeds", "twice", "sizes", "text"])
 
-    sent = based.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, "shard int, batch int, prints binary, twice binary, sizes binary, text binary")
+    sent = based.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, "shard int, batch int, prints binary, seeds binary, twice binary, sizes binary, text binary")
 
     def sort(table: pa.Table) -> pa.Table:
         prints, twice = R.unblob(table.column("prints"), np.uint64), R.unblob(table.column("twice"), np.bool_)
@@ -135,7 +146,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         own, first, back, count = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
         whole = (count > 1) | (np.bincount(back, weights=twice, minlength=len(own)) > 0)
         start = np.cumsum(size[first]) - size[first]
-        again = _repeated(_gather(text, begin[first], size[first]), start, size[first], window)
+        # a seed with one context, all of whose windows are repeats already, has nothing to sort
+        _, which, alike = np.unique(R.unblob(table.column("seeds"), np.uint64)[first], return_inverse=True, return_counts=True)
+        again = np.zeros(int(size[first].sum()), bool)
+        for part in _portions(np.flatnonzero((alike[which] > 1) | ~whole), which, size[first]):
+            place = np.repeat(start[part] - (np.cumsum(size[first][part]) - size[first][part]), size[first][part])
+            here = np.cumsum(size[first][part]) - size[first][part]
+            again[place + np.arange(len(place))] = _repeated(_gather(text, begin[first][part], size[first][part]), here, size[first][part], window)
         # per distinct context, its runs of repeated windows
         mask = np.repeat(whole, size[first])
         last = np.repeat(start + size[first] - window, size[first])
