@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, near_dedup, packing, substring_dedup, suffix_dedup
+from . import decontamination, language_model, near_dedup, neighbours, packing, substring_dedup, suffix_dedup
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.dedup(read(spark, sf_dir, "documents")))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -41,6 +45,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_neighbours": op4_neighbours,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
