@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, near_dedup, neighbours, packing, substring_dedup, suffix_dedup
+from . import decontamination, language_model, near_dedup, neighbours, packing, substring_dedup, suffix_dedup, toxicity
 from .common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), toxicity.fold("doc_id") != 2)
+    return toxicity.score(docs, model).select("doc_id", (toxicity.fold("doc_id") == 2).alias("held_out"), "score", "predicted")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.dedup(read(spark, sf_dir, "documents")))
 
@@ -44,6 +50,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_neighbours": op4_neighbours,
     "op5_near_dedup": op5_near_dedup,
