@@ -6,7 +6,7 @@ then send, summed again, what a word has as context (how many bigrams of count 1
 how many different words come before it. Nothing is sampled.
 
 Storage: three kinds of files in one folder of the shared checkpoint directory, each a sorted array
-of uint64 hashes with values beside it: bigrams (hash, count), words as contexts and words as continuations.
+of uint64 hashes with values beside it: bigrams with counts, bigrams that occur once, and words.
 Workers map shards into memory and look up a block's distinct hashes in sorted order.
 
 Probability of w after u, with discounts D1, D2, D3 from the counts of counts of bigrams:
@@ -123,6 +123,16 @@ class Files:
         return out
 
 
+    def has(self, kind: str, shards: int, keys: np.ndarray) -> np.ndarray:
+        """Which of sorted distinct keys are there."""
+        out = np.zeros(len(keys), bool)
+        for shard, part in by_group((keys % K.U64(shards)).astype(np.int64)):
+            (have,) = self.load(kind, shard, (np.uint64,))
+            if len(have):
+                out[part] = have[np.minimum(np.searchsorted(have, keys[part]), len(have) - 1)] == keys[part]
+        return out
+
+
 def _runs(key: np.ndarray, shards: int, *columns: np.ndarray) -> pa.RecordBatch:
     got = [(s, *(c[part].tobytes() for c in (key, *columns))) for s, part in by_group((key % K.U64(shards)).astype(np.int64))]
     shard, *cols = zip(*got, strict=True) if got else [()] * (2 + len(columns))
@@ -185,7 +195,9 @@ def train(docs: DataFrame) -> Model:
         u, w = unblob(table.column("u"), np.uint64), unblob(table.column("w"), np.uint64)
         n = np.concatenate([np.frombuffer(c, np.uint32) if c else np.ones(len(x) // 8, np.uint32) for c, x in zip(table.column("n").to_pylist(), table.column("u").to_pylist(), strict=True)]).astype(np.int64)
         keys, n, u, w = _add_up(pair_hash(u, w), n, u, w)
-        Files(folder).save("pair", shard, keys, np.minimum(n, 2**32 - 1).astype(np.uint32))
+        one = n == 1
+        Files(folder).save("once", shard, keys[one])
+        Files(folder).save("pair", shard, keys[~one], np.minimum(n[~one], 2**32 - 1).astype(np.uint32))
         kinds = np.bincount(np.minimum(n, 5), minlength=6)
         ctx, at = np.unique(u, return_inverse=True)
         by = [np.bincount(at, weights=m, minlength=len(ctx)).astype(np.int64) for m in (n == 1, n == 2, n > 2, n)]
@@ -193,26 +205,33 @@ def train(docs: DataFrame) -> Model:
         before = np.bincount(at, minlength=len(word)).astype(np.int64)
         total = np.bincount(at, weights=n, minlength=len(word)).astype(np.int64)
         rows = []
-        # as context: N1, N2, N3+, count; as word: different words before, occurrences
-        zero = np.zeros(len(word), np.int64)
-        for key, vals in ((ctx, np.stack((*by, np.zeros_like(by[0]), np.zeros_like(by[0])), 1)), (word, np.stack((zero, zero, zero, zero, before, total), 1))):
+        # as context: N1, N2, N3+, count; as word: different words before, occurrences. Most words stand once: then only the word is sent
+        once = (by[0] == 1) & (by[3] == 1)
+        alone = (before == 1) & (total == 1)
+        for kind, key, vals in (
+            (0, ctx[once], None), (1, ctx[~once], np.stack(by, 1)[~once]), (2, word[alone], None), (3, word[~alone], np.stack((before, total), 1)[~alone]),
+        ):
             for s, part in by_group((key % K.U64(shards)).astype(np.int64)):
-                rows.append((s, key[part].tobytes(), vals[part].astype(np.uint32).tobytes(), b""))
-        rows.append((0, b"", b"", kinds.astype(np.int64).tobytes()))
-        s, a, b, c = zip(*rows, strict=True)
-        return pa.table([pa.array(s, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["shard", "keys", "vals", "kinds"])
+                rows.append((s, kind, key[part].tobytes(), b"" if vals is None else vals[part].astype(np.uint32).tobytes()))
+        rows.append((0, 4, kinds.astype(np.int64).tobytes(), b""))
+        s, kind, a, b = zip(*rows, strict=True)
+        return pa.table([pa.array(s, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["shard", "kind", "keys", "vals"])
 
     def words(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, vals = unblob(table.column("keys"), np.uint64), unblob(table.column("vals"), np.uint32).reshape(-1, 6).astype(np.int64)
-        own, at = np.unique(keys, return_inverse=True)
+        parts = [table.filter(pa.array(table.column("kind").to_numpy() == kind)) for kind in range(5)]
+        keys = [unblob(p.column("keys"), np.uint64) for p in parts[:4]]
+        vals = [np.array([[1, 0, 0, 1]]), unblob(parts[1].column("vals"), np.uint32).reshape(-1, 4), np.array([[1, 1]]), unblob(parts[3].column("vals"), np.uint32).reshape(-1, 2)]
+        own, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros((len(own), 6), np.int64)
-        np.add.at(sums, at, vals)
+        for k, (where, v) in enumerate(zip(np.split(at, np.cumsum([len(x) for x in keys])[:-1]), vals, strict=True)):
+            for c in range(v.shape[1]):
+                add = np.bincount(where, weights=np.broadcast_to(v[:, c], len(where)), minlength=len(own))
+                sums[:, c + (0 if k < 2 else 4)] += add.astype(np.int64)
         Files(folder).save("word", shard, own, *(sums[:, k].astype(np.uint32) for k in range(6)))
         kinds = np.zeros(6, np.int64)
-        for x in table.column("kinds").to_pylist():
-            if x:
-                kinds += np.frombuffer(x, np.int64)
+        for x in parts[4].column("keys").to_pylist():
+            kinds += np.frombuffer(x, np.int64)
         before = sums[:, 4]
         more = np.bincount(np.minimum(before[before > 0], 5), minlength=6)
         out = {f"pair_{k}": int(kinds[k]) for k in range(1, 6)} | {f"word_{k}": int(more[k]) for k in range(1, 6)}
@@ -221,7 +240,7 @@ def train(docs: DataFrame) -> Model:
 
     names = [f"pair_{k}" for k in range(1, 6)] + [f"word_{k}" for k in range(1, 6)] + ["tokens", "vocabulary", "before"]
     counted = docs.select("text").mapInArrow(count, "shard int, u binary, w binary, n binary")
-    stored = counted.groupBy("shard").applyInArrow(store, "shard int, keys binary, vals binary, kinds binary")
+    stored = counted.groupBy("shard").applyInArrow(store, "shard int, kind int, keys binary, vals binary")
     summed = stored.groupBy("shard").applyInArrow(words, ", ".join(f"{n} long" for n in names))
     sums = summed.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
     return Model(folder, int(shards), sums)
@@ -249,6 +268,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             gamma = d[1] * n1 + d[2] * n2 + d[3] * n3
             pairs, pair = np.unique(pair_hash(ctx, tok), return_inverse=True)
             (c,) = files.find("pair", shards, pairs, (np.uint32,))
+            rare = np.flatnonzero(c == 0)
+            c[rare] = files.has("once", shards, pairs[rare])
             c = c[pair].astype(np.float64)
             seen = c_ctx[u] > 0
             den = np.where(seen, c_ctx[u], 1)
