@@ -4,11 +4,12 @@
    signature and its bands. Documents with equal sets form a class; only the class's smallest doc_id goes on.
 2. In each band bucket every class is paired with the bucket's smallest class; pairs are verified on full sets,
    and links joined to components.
-3. Buckets that still hold several components are compared completely: inside a task, every member outside the
-   bucket's largest component with every other, by signature, in blocks. Only pairs of different
-   components whose sizes allow the similarity and whose signatures agree in `SURE` of the slots
-   become rows; they are verified on full sets too. Large buckets are split into pairs of parts of
-   at most `PART` members.
+3. Buckets that still hold several components are compared completely. In buckets of up to `SMALL` members, the pairs of
+   different components whose sizes allow the similarity and whose signatures agree in `SURE` of the slots
+   become rows, each in the first bucket that holds it, and are verified too. Larger buckets are joined to
+   clusters of classes; a cluster's texts meet in blocks of at most `PART` members, where members of different components are
+   compared by signature, then on full sets, and only links that join components become rows.
+   No group becomes a list of pairs.
 
 With 32 bands of 4 slots, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import minhash
-from .common import checkpointed, components, text_bytes
+from .common import checkpointed, components
 
 ROWS = 4
 #: Share of equal slots from which a pair is verified: five standard deviations below 0.8.
 SURE = 0.65
 PART = 1024
+#: Largest bucket whose likely pairs become rows.
+SMALL = 32
 #: Texts that are compared with one text in one group.
 SALT = 256
 GROUP_BYTES = 4 << 20
@@ -101,7 +104,8 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     dealt = pairs.join(counted, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / SALT)).cast("int").alias("salt"))
     needs = dealt.select(F.col("a").alias("id"), "b", "salt", F.lit(False).alias("is_b")).unionAll(dealt.select(F.col("b").alias("id"), "b", "salt", F.lit(True).alias("is_b")).distinct())
     rows = needs.join(texts, "id")
-    groups = F.pmod(F.xxhash64("b", "salt"), F.lit(max(8, -(-text_bytes(texts) // GROUP_BYTES)))).alias("g")
+    size = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    groups = F.pmod(F.xxhash64("b", "salt"), F.lit(max(8, int(pairs.count() * 1.5 * size // GROUP_BYTES)))).alias("g")
 
     def check(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -137,32 +141,80 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return rows.select(groups, "id", "b", "salt", "is_b", "text").groupBy("g").applyInArrow(check, "a long, b long")
 
 
+def _likely(i: int, right: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Members of `right` in other components than i that can be similar to it."""
+    ok = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+    return ok[(sig[ok] == sig[i]).sum(axis=1) >= SURE * sig.shape[1]] if len(ok) else ok
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+    return (*(table.column(c).to_numpy() for c in ("id", "component", "n")), sig)
+
+
 def rivals(buckets: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components in one bucket. buckets: band, part, id, component, n, signature, side."""
+    """Likely pairs of different components in small buckets. buckets: band, id, component, n, signature, g (a group of buckets)."""
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, comp, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
-        # side 0: a whole bucket; 1 and 2: two parts of a large one
+        ids, comp, n, sig = _columns(table)
+        band = table.column("band").to_numpy()
+        bands = minhash.bands(sig, ROWS).view(np.int64)
+        a, b = [], []
+        order = np.argsort(band, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+            for k, i in enumerate(rows.tolist()):
+                ok = _likely(i, rows[k + 1 :], comp, n, sig, percent)
+                if len(ok):  # only in the first band that both share
+                    ok = ok[bands[i][(bands[ok] == bands[i]).argmax(axis=1)] == band[i]]
+                    a.append(np.full(len(ok), ids[i]))
+                    b.append(ids[ok])
+        none = np.zeros(0, np.int64)
+        x, y = np.concatenate(a) if a else none, np.concatenate(b) if b else none
+        return pa.table([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    return buckets.groupBy("g").applyInArrow(compare, "a long, b long")
+
+
+def cluster_links(blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links that join components within blocks. blocks: cluster, part, side, id, component, n, signature, text."""
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp, n, sig = _columns(table)
+        comp, side = comp.copy(), table.column("side").to_numpy()
+        sets: list[np.ndarray] = []
+        for _, buf, off in K.pieces(iter(table.select(["text"]).to_batches())):
+            x, first = shingle_sets(buf, off, shingle)
+            sets += np.split(x, first[1:-1])
+        # side 0: a whole cluster or a part with itself; 1 and 2: two parts
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        if not (side != 0).any():
+        if not side.any():
             names, count = np.unique(comp, return_counts=True)
             left = left[comp[left] != names[count.argmax()]]
         a, b = [], []
         for i in left.tolist():
-            ok = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if len(ok):
-                ok = ok[(sig[ok] == sig[i]).sum(axis=1) >= SURE * sig.shape[1]]
-                a.append(np.full(len(ok), ids[i]))
-                b.append(ids[ok])
-        none = np.zeros(0, np.int64)
-        x, y = np.concatenate(a) if a else none, np.concatenate(b) if b else none
-        # the one that more pairs hold stands still, so that fewer texts travel
-        got = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), 1), axis=0)
-        return pa.table([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-
-    return buckets.groupBy("band", "part").applyInArrow(compare, "a long, b long")
+            near = _likely(i, right, comp, n, sig, percent)
+            # the likeliest first: once two components are joined, the rest of the other one is skipped
+            near = near[np.argsort(-(sig[near] == sig[i]).sum(axis=1), kind="stable")]
+            while len(near):
+                now, near = near[:64], near[64:]
+                size = n[now]
+                hits = among(np.concatenate([sets[j] for j in now.tolist()]), sets[i])
+                both = np.add.reduceat(hits.astype(np.int64), np.cumsum(size) - size)
+                for j in now[100 * both >= percent * (size + n[i] - both)].tolist():
+                    if comp[i] != comp[j]:
+                        a.append(ids[i])
+                        b.append(ids[j])
+                        comp[comp == comp[j]] = comp[i]
+                near = near[comp[near] != comp[i]]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return blocks.groupBy("cluster", "part").applyInArrow(join, "a long, b long")
+
+
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -181,21 +233,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # buckets in which several components are left
     named = components(links)
-    labelled = crowded.join(named.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "c", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y AND k > 2")
-    parts = F.ceil(F.col("k") / PART).cast("int")
-    inside = labelled.join(mixed.select("band", "k"), "band").join(classes.select("id", "n", "signature"), "id")
-    inside = inside.withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("id"), parts).cast("int")})
-    whole = inside.where("parts = 1").withColumns({"part": F.lit("0"), "side": F.lit(0)})
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = inside.where("parts > 1").withColumn("other", other)
-    split = split.withColumns({
+    labelled = crowded.join(named.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "b", F.coalesce("component", "id").alias("component"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y AND k > 2").select("band", "k")
+    inside = checkpointed(labelled.join(mixed, "band"))
+    about = classes.select("id", "n", "signature")
+    small = inside.where(F.col("k") <= SMALL).join(about, "id")
+    groups = max(8, inside.count() // 4000)
+    likely = rivals(small.select("band", "id", "component", "n", "signature", F.pmod(F.xxhash64("band"), F.lit(groups)).alias("g")), percent)
+    more = checkpointed(likely.join(pairs, ["a", "b"], "left_anti"))
+
+    large = inside.where(F.col("k") > SMALL)
+    cluster = components(large.where("id <> b").select(F.col("id").alias("a"), "b"))
+    members = large.select("id", "component").distinct().join(cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    members = members.join(members.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("id"), parts).cast("int")})
+    blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({
         "part": F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other")),
         "side": F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2),
     })
-    cols = ["band", "part", "id", "component", "n", "signature", "side"]
-    more = checkpointed(rivals(whole.select(cols).unionAll(split.select(cols)), percent).distinct().join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionAll(verify(more, texts, shingle, percent))
+    blocks = blocks.join(about, "id").join(texts, "id").select("cluster", "part", "side", "id", "component", "n", "signature", "text")
+    links = links.unionAll(verify(more, texts, shingle, percent)).unionAll(cluster_links(blocks, shingle, percent))
 
     named = components(links)
     member = some.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
