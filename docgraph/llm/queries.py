@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, near_dedup, neighbours, packing, substring_dedup, suffix_dedup, toxicity
+from . import chat, decontamination, language_model, near_dedup, neighbours, packing, substring_dedup, suffix_dedup, toxicity
 from .common import read
 
 
@@ -38,6 +38,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.dedup(read(spark, sf_dir, "documents")))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionAll(spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said)))
+    return chat.digests(chat.formatted(chat.ranked_paths(chat.from_turns(rows), best=1)))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,7 +63,8 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_language_model": op10_language_model,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat": chat.ORACLE}
