@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_model, near_dedup, neighbours, packing, substring_dedup, suffix_dedup, toxicity
+from . import chat, decontamination, language_model, near_dedup, neighbours, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import read
 
 
@@ -20,6 +20,18 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.dedup(read(spark, sf_dir, "documents")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, after two edits: a sentence in the middle, then eight bytes less at a quarter."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    trees = token_counts.build(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    half, quarter = F.floor(n / 2), F.floor(n / 4)
+    one = F.struct(half.alias("start"), half.alias("end"), F.lit(" An added sentence.").alias("text"))
+    two = F.struct(quarter.alias("start"), (quarter + 8).alias("end"), F.lit("").alias("text"))
+    found = token_counts.apply_edits(trees.withColumn("edits", F.array(one, two)), path)
+    return found.select("doc_id", "n_before", "n_tokens", "encoded_bytes", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -59,6 +71,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_neighbours": op4_neighbours,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,

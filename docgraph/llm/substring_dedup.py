@@ -54,9 +54,10 @@ def _runs(seed: np.ndarray, ok: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(head)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: list[str] | None = None, spacing: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, removed (maximal runs of removed words as [first, end)), kept (the words
-    that stay, joined by single spaces), and rest (a struct of the columns named in keep)."""
+    that stay, joined by single spaces), and rest (a struct of the columns named in keep). spacing: a text that loses nothing
+    keeps its own white space."""
     based, n = R.in_batches(docs, keep)
 
     def seeds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +150,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
                 text = raw[off[t] : off[t + 1]]
                 if not mine.any():
                     removed.append([])
-                    kept.append(b" ".join(text.split()).decode("utf-8", "replace"))
+                    kept.append((text if spacing else b" ".join(text.split())).decode("utf-8", "replace"))
                 else:
                     a, b = K.spans(mine)
                     removed.append(np.stack((a, b), 1).tolist())
