@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import minhash
-from .common import checkpointed, components
+from .common import checkpointed, components, joined_components
 
 ROWS = 4
 #: Share of equal slots from which a pair is verified: five standard deviations below 0.8.
@@ -217,6 +217,21 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
+def _blocks(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of large buckets (band, id, b, component), joined to clusters, in pairs of parts."""
+    about = classes.select("id", "n", "signature")
+    cluster = components(large.where("id <> b").select(F.col("id").alias("a"), "b"))
+    members = large.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), F.col("id") == F.col("node"), "left")
+    members = members.select("id", "component", F.coalesce("cluster", "id").alias("cluster"))
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    members = members.join(members.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("id"), parts).cast("int")})
+    blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({
+        "part": F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other")),
+        "side": F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2),
+    })
+    return blocks.join(about, "id").join(texts, "id").select("cluster", "part", "side", "id", "component", "n", "signature", "text")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest linked doc_id, its own included)."""
     described = checkpointed(describe(docs, shingle))
@@ -232,7 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = checkpointed(verify(pairs, texts, shingle, percent))
 
     # buckets in which several components are left
-    named = components(links)
+    named = checkpointed(components(links))
     labelled = crowded.join(named.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "b", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y AND k > 2").select("band", "k")
     inside = checkpointed(labelled.join(mixed, "band"))
@@ -242,19 +257,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     likely = rivals(small.select("band", "id", "component", "n", "signature", F.pmod(F.xxhash64("band"), F.lit(groups)).alias("g")), percent)
     more = checkpointed(likely.join(pairs, ["a", "b"], "left_anti"))
 
-    large = inside.where(F.col("k") > SMALL)
-    cluster = components(large.where("id <> b").select(F.col("id").alias("a"), "b"))
-    members = large.select("id", "component").distinct().join(cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    members = members.join(members.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("id"), parts).cast("int")})
-    blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({
-        "part": F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other")),
-        "side": F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2),
-    })
-    blocks = blocks.join(about, "id").join(texts, "id").select("cluster", "part", "side", "id", "component", "n", "signature", "text")
-    links = links.unionAll(verify(more, texts, shingle, percent)).unionAll(cluster_links(blocks, shingle, percent))
+    found = verify(more, texts, shingle, percent)
 
-    named = components(links)
+    large = inside.where(F.col("k") > SMALL)
+    if not large.isEmpty():
+        found = found.unionAll(cluster_links(_blocks(large, classes, texts), shingle, percent))
+    named = joined_components(named, found)
     member = some.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
     member = member.join(named.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("found")).groupBy("doc_id").agg(F.min("found").alias("found"))
     out = described.select("doc_id", "n").join(member, "doc_id", "left")
