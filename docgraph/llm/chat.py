@@ -86,7 +86,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
     piece = F.transform(
         "turns",
         lambda t: F.struct(
-            F.concat(F.lit(TURN), F.regexp_replace(escape(t["role"]), "\n", "\\\\\\\\\n"), F.lit("\n")).alias("head"),
+            F.concat(F.lit(TURN), F.regexp_replace(escape(t["role"]), "\n", "\\\\\n"), F.lit("\n")).alias("head"),
             escape(t["text"]).alias("body"), F.lit(END + "\n").alias("tail"), (t["role"] == "assistant").alias("learn"),
         ),
     )

@@ -23,12 +23,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, after two edits: a sentence in the middle, then eight bytes less at a quarter."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    trees = token_counts.build(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     half, quarter = F.floor(n / 2), F.floor(n / 4)
     one = F.struct(half.alias("start"), half.alias("end"), F.lit(" An added sentence.").alias("text"))
     two = F.struct(quarter.alias("start"), (quarter + 8).alias("end"), F.lit("").alias("text"))
-    found = token_counts.apply_edits(trees.withColumn("edits", F.array(one, two)), path)
+    found = token_counts.count_edited(docs.withColumn("edits", F.array(one, two)), path)
     return found.select("doc_id", "n_before", "n_tokens", "encoded_bytes", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -78,8 +78,8 @@ def count(enc: Encoder, text: bytes) -> int:
     return int(enc.counts(buf, start, end).sum())
 
 
-def edit(tree: Tree, text: bytes, start: int, end: int, new: bytes, enc: Encoder) -> tuple[bytes, int]:
-    """The new text and how many bytes were encoded; updates the tree."""
+def _touched(tree: Tree, text: bytes, start: int, end: int, new: bytes) -> tuple[int, int, bytes, bytes]:
+    """First and last leaf that an edit re-encodes, their new bytes, and the new text."""
 
     def whole(at: int) -> int:
         at = min(max(at, 0), len(text))
@@ -90,8 +90,7 @@ def edit(tree: Tree, text: bytes, start: int, end: int, new: bytes, enc: Encoder
     start = whole(start)
     end = max(start, whole(end))
     if not text:
-        tree.put(0, 0, len(new), count(enc, new))
-        return new, len(new)
+        return 0, 0, new, new
     # one leaf more on either side of what is touched
     first, a = tree.find(max(start - 1, 0))
     if a > 0:
@@ -101,9 +100,62 @@ def edit(tree: Tree, text: bytes, start: int, end: int, new: bytes, enc: Encoder
     if b < len(text):
         last, b = tree.find(b)
         b += int(tree.sums[0, last + tree.size])
-    region = text[a:start] + new + text[end:b]
+    return first, last, text[a:start] + new + text[end:b], text[:start] + new + text[end:]
+
+
+def edit(tree: Tree, text: bytes, start: int, end: int, new: bytes, enc: Encoder) -> tuple[bytes, int]:
+    """The new text and how many bytes were encoded; updates the tree."""
+    first, last, region, now = _touched(tree, text, start, end, new)
     tree.put(first, last, len(region), count(enc, region))
-    return text[:start] + new + text[end:], len(region)
+    return now, len(region)
+
+
+def _edit_all(trees: list[Tree], texts: list[bytes], edits: list[list | None], enc: Encoder) -> list[int]:
+    """Applies all edits in rounds, one edit of each text at a time, so that a round's regions are encoded together. Returns encoded bytes."""
+    todo = [[e for e in (own or []) if e is not None] for own in edits]
+    done = [0] * len(trees)
+    for turn in range(max(map(len, todo), default=0)):
+        at = [i for i, own in enumerate(todo) if len(own) > turn]
+        plans = []
+        for i in at:
+            e = todo[i][turn]
+            plans.append(_touched(trees[i], texts[i], e["start"] or 0, e["end"] or 0, (e["text"] or "").encode()))
+        off = np.concatenate(([0], np.cumsum([len(p[2]) for p in plans])))
+        buf = np.frombuffer(b"".join(p[2] for p in plans), np.uint8)
+        start, end, first = chunks(buf, off)
+        total = np.concatenate(([0], np.cumsum(enc.counts(buf, start, end)))) if len(start) else np.zeros(1, np.int64)
+        tokens = total[first[1:]] - total[first[:-1]]
+        for i, (a, b, region, now), n in zip(at, plans, tokens.tolist(), strict=True):
+            trees[i].put(a, b, len(region), n)
+            texts[i] = now
+            done[i] += len(region)
+    return done
+
+
+def _trees(buf: np.ndarray, off: np.ndarray, enc: Encoder) -> list[Tree]:
+    start, end, first = chunks(buf, off)
+    size = end - start
+    tokens = enc.counts(buf, start, end) if len(start) else size
+    return [Tree(size[a:b], tokens[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+AFTER = "doc_id long, text string, n_tokens long, n_before long, encoded_bytes long"
+
+
+def count_edited(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """docs (doc_id, text, edits) after their edits, without storing the trees: doc_id, text, n_tokens, n_before, encoded_bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for rows, buf, off in K.pieces(batches, limit=1 << 20):
+            trees, raw = _trees(buf, off, enc), buf.tobytes()
+            texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            before = [t.tokens for t in trees]
+            done = _edit_all(trees, texts, rows.column(2).to_pylist(), enc)
+            cols = [rows.column(0), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()), *(pa.array(x, pa.int64()) for x in ([t.tokens for t in trees], before, done))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_tokens", "n_before", "encoded_bytes"])
+
+    return docs.select("doc_id", "text", "edits").mapInArrow(run, AFTER)
 
 
 def build(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -112,10 +164,7 @@ def build(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for rows, buf, off in K.pieces(batches):
-            start, end, first = chunks(buf, off)
-            size = end - start
-            tokens = enc.counts(buf, start, end) if len(start) else size
-            trees = [Tree(size[a:b], tokens[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            trees = _trees(buf, off, enc)
             cols = [*rows.columns, pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.dump() for t in trees], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[*rows.schema.names, "n_tokens", "tree"])
 
@@ -129,18 +178,14 @@ def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                texts, trees, after, before, encoded = [], [], [], [], []
-                for text, raw, edits in zip(*(rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("text", "tree", "edits")), strict=True):
-                    now, tree, done = (text or "").encode(), Tree.load(raw), 0
-                    before.append(tree.tokens)
-                    for e in edits or []:
-                        if e is not None:
-                            now, n = edit(tree, now, e["start"] or 0, e["end"] or 0, (e["text"] or "").encode(), enc)
-                            done += n
-                    texts.append(now.decode("utf-8", "replace")), trees.append(tree.dump()), after.append(tree.tokens), encoded.append(done)
+            for at in range(0, batch.num_rows, 200):
+                rows = batch.slice(at, 200)
+                text, raw, edits = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("text", "tree", "edits"))
+                texts, trees = [(t or "").encode() for t in text], [Tree.load(r) for r in raw]
+                before = [t.tokens for t in trees]
+                done = _edit_all(trees, texts, edits, enc)
                 ids = rows.column(rows.schema.get_field_index("doc_id"))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(texts), pa.array(trees, pa.binary()), pa.array(after, pa.int64()), pa.array(before, pa.int64()), pa.array(encoded, pa.int64())], names=["doc_id", "text", "tree", "n_tokens", "n_before", "encoded_bytes"])
+                cols = [ids, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()), *(pa.array(x, pa.int64()) for x in ([t.tokens for t in trees], before, done)), pa.array([t.dump() for t in trees], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_tokens", "n_before", "encoded_bytes", "tree"])
 
-    return trees.select("doc_id", "text", "tree", "edits").mapInArrow(run, "doc_id long, text string, tree binary, n_tokens long, n_before long, encoded_bytes long")
+    return trees.select("doc_id", "text", "tree", "edits").mapInArrow(run, AFTER + ", tree binary")
