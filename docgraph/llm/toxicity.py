@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SAMPLE = 3000
+SAMPLE = 2000
 CARRIER = bytes(range(128, 152))
 TAIL = bytes(range(200, 212))
 FRAGMENTS = range(4, 10)
@@ -52,8 +52,8 @@ def _text_block(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
 
 
-class _Fragments:
-    """Fragments of the words of some texts: in how many (text, word) pairs each stands, and in which words."""
+class _Words:
+    """The distinct words of some texts between spaces, and in how many texts each stands."""
 
     def __init__(self, texts: list[str | None]):
         buf, off = _text_block(texts)
@@ -61,46 +61,47 @@ class _Fragments:
         start, end, first = K.words(low, off, ~K.SPACE)
         owner = np.repeat(np.arange(len(texts)), np.diff(first)).astype(np.uint64)
         h = K.word_hashes(low, start, end)
-        _, one = np.unique(K.mix(h + owner * K.U64(0x9E3779B97F4A7C15)), return_index=True)  # each word once in a text
+        _, one = np.unique(K.mix(h + owner * K.U64(0x9E3779B97F4A7C15)), return_index=True)
         _, at, self.weight = np.unique(h[one], return_index=True, return_counts=True)
         a, size = start[one][at], (end - start)[one][at]
         joined = np.full(int((size + 2).sum()), 32, np.uint8)
         begin, before, inner = np.cumsum(size + 2) - size - 2, np.cumsum(size) - size, np.arange(int(size.sum()))
         joined[np.repeat(begin + 1 - before, size) + inner] = low[np.repeat(a - before, size) + inner]
-        pre = K.prefix(K.BYTE[joined], K.BASE)
-        stop, word = np.repeat(begin + size + 2, size + 2), np.repeat(np.arange(len(size)), size + 2)
+        self.pre = K.prefix(K.BYTE[joined], K.BASE)
+        self.stop, self.word = np.repeat(begin + size + 2, size + 2), np.repeat(np.arange(len(size)), size + 2)
         self.raw, self.n = joined.tobytes(), len(texts)
-        self.keys, self.count, self.place, self.back, self.word = {}, {}, {}, {}, {}
-        for n in FRAGMENTS:
-            p = np.flatnonzero(np.arange(len(joined)) + n <= stop)
-            self.keys[n], self.place[n], self.back[n] = np.unique(K.ranges(pre, p, p + n, K.BASE), return_index=True, return_inverse=True)
-            self.place[n], self.word[n] = p[self.place[n]], word[p]
-            self.count[n] = np.bincount(self.back[n], weights=self.weight[self.word[n]], minlength=len(self.keys[n]))
 
-
-def _contrast(mine: _Fragments, other: _Fragments) -> bytes:
-    """Content of a dictionary: fragments that tell this class from the other, the best last.
-
-    The best is taken again and again; words that hold a chosen fragment no longer count for others.
-    """
-    size, there, texts, frag, word = [], [], [], [], []
-    for n in FRAGMENTS:
-        c2 = np.append(other.count[n], 0)[np.where(among(mine.keys[n], other.keys[n]), np.searchsorted(other.keys[n], mine.keys[n]), len(other.keys[n]))]
-        good = np.flatnonzero(_value(mine.count[n], mine.n, c2, other.n) > _least(mine.n))
-        number = np.full(len(mine.keys[n]), -1, np.int64)
-        number[good] = np.arange(len(good)) + len(texts)
-        pairs = np.flatnonzero(number[mine.back[n]] >= 0)
-        frag.append(number[mine.back[n][pairs]])
-        word.append(mine.word[n][pairs])
-        texts += [mine.raw[p : p + n] for p in mine.place[n][good].tolist()]
-        size.append(np.full(len(good), n))
-        there.append(c2[good])
-    sizes, c2, frags, words = (np.concatenate(x) for x in (size, there, frag, word))
-    pairs = np.unique(np.stack((frags, words)), axis=1) if len(frags) else np.zeros((2, 0), np.int64)
-    frags, words = pairs
+    def fragments(self, n: int) -> tuple[np.ndarray, ...]:
+        """Hashes of the fragments of n bytes (sorted), in how many (text, word) pairs and where each stands; each occurrence's fragment and word."""
+        p = np.flatnonzero(np.arange(len(self.stop)) + n <= self.stop)
+        keys, place, back = np.unique(K.ranges(self.pre, p, p + n, K.BASE), return_index=True, return_inverse=True)
+        word = self.word[p]
+        return keys, np.bincount(back, weights=self.weight[word], minlength=len(keys)), p[place], back, word
+
+
+def _candidates(mine: _Words, a: tuple, other: _Words, b: tuple, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments of n bytes that tell mine from the other: texts, counts in the other, and (fragment, word) pairs."""
+    keys, count, place, back, word = a
+    c2 = np.append(b[1], 0)[np.where(among(keys, b[0]), np.searchsorted(b[0], keys), len(b[0]))]
+    good = np.flatnonzero(_value(count, mine.n, c2, other.n) > _least(mine.n))
+    number = np.full(len(keys), -1, np.int64)
+    number[good] = np.arange(len(good))
+    pairs = np.flatnonzero(number[back] >= 0)
+    return [mine.raw[p : p + n] for p in place[good].tolist()], c2[good], number[back[pairs]], word[pairs]
+
+
+def _choose(mine: _Words, n_other: int, found: list[tuple]) -> bytes:
+    """Content of a dictionary, the best last. The best is taken again and again; words that hold a chosen fragment no longer count for others."""
+    texts = [t for f in found for t in f[0]]
+    base = np.cumsum([0, *(len(f[0]) for f in found)])
+    c2, words = (np.concatenate([f[k] for f in found]) for k in (1, 3))
+    frags = np.concatenate([f[2] + b for f, b in zip(found, base[:-1], strict=True)])
+    if len(frags):
+        frags, words = np.unique(np.stack((frags, words)), axis=1)
+    sizes = np.array([len(t) for t in texts])
     left, out, room = mine.weight.astype(np.float64), [], DICT_BYTES
     while len(texts):
-        value = _value(np.bincount(frags, weights=left[words], minlength=len(texts)), mine.n, c2, other.n)
+        value = _value(np.bincount(frags, weights=left[words], minlength=len(texts)), mine.n, c2, n_other)
         gain = np.where(value > _least(mine.n), value * (sizes - 2.5), 0)
         k = int(gain.argmax())
         if gain[k] <= 0 or len(texts[k]) > room:
@@ -111,6 +112,17 @@ def _contrast(mine: _Fragments, other: _Fragments) -> bytes:
     return b"".join(reversed(out))
 
 
+def _contents(toxic: list[str | None], ordinary: list[str | None]) -> tuple[bytes, bytes]:
+    """Contents of the two dictionaries; one length of fragments at a time is in memory."""
+    a, b = _Words(toxic), _Words(ordinary)
+    of_a, of_b = [], []
+    for n in FRAGMENTS:
+        x, y = a.fragments(n), b.fragments(n)
+        of_a.append(_candidates(a, x, b, y, n))
+        of_b.append(_candidates(b, y, a, x, n))
+    return _choose(a, b.n, of_a), _choose(b, a.n, of_b)
+
+
 def _least(n: int) -> float:
     """Least value of a fragment: few texts can't reach what many can."""
     return SIGNIFICANT * n / (n + 10)
@@ -224,10 +236,9 @@ def train_texts(toxic: list[str | None], ordinary: list[str | None], n_toxic: in
         model.prior = n_toxic / max(1, n_toxic + n_ordinary)
         return model
     lists = [list(dict.fromkeys(x[::2])) for x in (toxic, ordinary)]
-    a, b = (_Fragments(x) for x in lists)
-    model = Model(_contrast(a, b), _contrast(b, a))
+    model = Model(*_contents(*lists))
     rest = [x[1::2] or x for x in (toxic, ordinary)]
-    x = np.concatenate([model.features(*_text_block(part)) for part in rest])
+    x = np.concatenate([model.features(*_text_block(part[i : i + 100])) for part in rest for i in range(0, len(part), 100)])
     y = np.repeat([1.0, 0.0], [len(part) for part in rest])
     weight = np.repeat([n_toxic / len(rest[0]), n_ordinary / len(rest[1])], [len(part) for part in rest])
     model.fit(x, y, weight * len(x) / weight.sum())
