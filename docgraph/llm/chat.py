@@ -12,7 +12,7 @@ is put into everything that looks like a control string of this or another commo
 any text comes back exactly. The loss mask lists [start, end) code points of assistant texts in the formatted string.
 
 Nulls: a null text or role is empty; a null score counts 0; a message whose parent is null or missing is a root. A message that is its own ancestor
-is on no path from a root. Repeated node ids are an error of the input: rows of one id are reduced to the one with the smallest role and text.
+is on no path from a root, and so is a message without an id. Repeated node ids are an error of the input: rows of one id are reduced to the one with the smallest role and text.
 In chains (`from_turns`), rows of one turn are ordered by role and text, and repeated rows are turns of their own; null turns come first.
 Rows with a null conversation form one conversation. Empty tables give empty results.
 """
@@ -57,13 +57,18 @@ def paths(messages: DataFrame) -> DataFrame:
     leaves = linked.join(parents, ["tree", "node"], "left_anti")
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     jump = linked.where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("to"))
-    step = 1
+    step, longest = 1, None
     while True:
         jump = checkpointed(jump)
-        more = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        found = checkpointed(found.unionAll(more))
-        if jump.isEmpty():
+        more = checkpointed(found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up")))
+        if more.isEmpty():
             return found
+        if step >= 64 and longest is None:
+            longest = linked.groupBy("tree").count().agg(F.max("count")).first()[0]
+        if longest is not None and step > longest:  # what still goes on goes round in circles
+            roots = linked.where("parent IS NULL").select("tree", "node")
+            return found.join(found.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
+        found = found.unionAll(more)
         far = jump.select("tree", F.col("node").alias("low"), F.col("to").alias("node"))
         jump = far.join(jump, ["tree", "node"]).select("tree", F.col("low").alias("node"), "to")
         step *= 2
@@ -71,14 +76,15 @@ def paths(messages: DataFrame) -> DataFrame:
 
 def ranked_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     """tree, leaf, branch (rank by falling score, then leaf), turns (array of role, text from root to leaf)."""
-    one = messages.groupBy("tree", "node").agg(F.min(F.struct("role", "text", "score", "parent")).alias("m")).select("tree", "node", "m.*")
+    # a struct equals another with the same null inside, so a null tree is a tree
+    one = messages.where("node IS NOT NULL").withColumn("tree", F.struct(F.col("tree").alias("of"))).groupBy("tree", "node").agg(F.min(F.struct("role", "text", "score", "parent")).alias("m")).select("tree", "node", "m.*")
     on_path = paths(one).join(one.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
     turns = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     made = on_path.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), turns.alias("turns"))
     ranked = made.select("tree", "leaf", "score").withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if best is not None:
         ranked = ranked.where(F.col("branch") <= best)
-    return made.join(ranked.drop("score"), ["tree", "leaf"]).select("tree", "leaf", "branch", "turns")
+    return made.join(ranked.drop("score"), ["tree", "leaf"]).select(F.col("tree")["of"].alias("tree"), "leaf", "branch", "turns")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Callable, Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed, shared_dir
+
 LAST_ID = (1 << 63) - 1
 
 
@@ -18,27 +16,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
-    here = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not here:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            here = set_dir.get()
-        else:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            here = f"file:///tmp/docgraph-checkpoints-{os.getuid()}"
-            spark.sparkContext.setCheckpointDir(here)
-    return here.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder; its lineage is cut, so it survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -47,18 +24,6 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
-def int_array(x: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x), kind or pa.int64())
-
-
-def batch_of(**columns: pa.Array | np.ndarray | list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (a, b), for every node that isn't that smallest one itself.
 

@@ -207,6 +207,7 @@ def brute_force(vectors: list[tuple[int, list[float] | None]], queries: set[int]
     out = []
     for q, a in ok:
         if q in queries:
-            near = sorted((-round(float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))), 12), i) for i, b in ok if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+            cosines = [(float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))), i) for i, b in ok if i != q]
+            near = sorted(cosines, key=lambda c: (-round(c[0], 12), c[1]))[:k]
+            out += [(q, r + 1, i, s) for r, (s, i) in enumerate(near)]
     return out

@@ -157,7 +157,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
                     x, y = K.spans(~mine)
                     kept.append(b" ".join(b" ".join(raw[start[lo + i] : end[lo + j - 1]].split()) for i, j in zip(x.tolist(), y.tolist(), strict=True)).decode("utf-8", "replace"))
         cols = [docs.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string())]
-        return pa.table(cols + ([docs.column("rest")] if keep else []), names=["doc_id", "n_words", "removed", "kept"] + ["rest"] * bool(keep))
+        if keep:  # all fields nullable, as declared
+            rest = docs.column("rest").combine_chunks()
+            cols.append(pa.StructArray.from_arrays(rest.flatten(), names=[f.name for f in rest.type]))
+        return pa.table(cols, names=["doc_id", "n_words", "removed", "kept"] + ["rest"] * bool(keep))
 
     return based.groupBy("batch").cogroup(shared.unionByName(firsts).groupBy("batch")).applyInArrow(finish, schema)
 

@@ -151,3 +151,19 @@ def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.n
         step >>= 1
     out[at] = got
     return out
+
+
+def repeats(text: np.ndarray, sa: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
+    """For each position that starts marks, whether its n bytes stand at another marked position too.
+
+    These are the positions whose permuted common prefix with a neighbour reaches n. A suffix that shares n bytes with a marked one
+    sorts beside it, so neighbours among the marked suffixes are enough; whether n bytes are shared is read
+    off prefix sums, without the lengths below or beyond n. All n bytes of a marked position must lie in the text.
+    """
+    sa = sa[starts[sa]].astype(np.int64)
+    prints = K.ranges(K.prefix(K.BYTE[text], K.BASE), sa, sa + n, K.BASE)
+    long = np.flatnonzero(prints[1:] == prints[:-1])
+    out = np.zeros(len(text), bool)
+    out[sa[long]] = True
+    out[sa[long + 1]] = True
+    return out

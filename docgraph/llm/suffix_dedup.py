@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import repeats as R
-from .suffix import permuted_common_prefixes, suffix_array
+from .suffix import repeats, suffix_array
 
 WINDOW = 200
 GRAM = 32
@@ -85,22 +85,10 @@ def _portions(contexts: np.ndarray, seed: np.ndarray, size: np.ndarray) -> list[
 
 def _repeated(text: np.ndarray, start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
     """For each byte of the concatenated contexts, whether the window that starts there occurs twice."""
-    sa = suffix_array(text)
-    valid = np.zeros(len(text), bool)
     mark = np.zeros(len(text) + 1, np.int64)
     np.add.at(mark, start, 1)
     np.add.at(mark, start + size - n + 1, -1)
-    valid = np.cumsum(mark[:-1]) > 0
-    sa = sa[valid[sa]]
-    # the permuted prefix reaches n where the fingerprints of the n bytes are equal; lengths beyond or below n don't matter here
-    pre = K.prefix(K.BYTE[text], K.BASE)
-    at = sa.astype(np.int64)
-    prints = K.ranges(pre, at, at + n, K.BASE)
-    long = np.flatnonzero(prints[1:] == prints[:-1])
-    out = np.zeros(len(text), bool)
-    out[sa[long]] = True
-    out[sa[long + 1]] = True
-    return out
+    return repeats(text, suffix_array(text), n, np.cumsum(mark[:-1]) > 0)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
