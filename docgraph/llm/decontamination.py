@@ -82,21 +82,35 @@ class Matcher:
         return len(words), which, end - self.lengths[which], end
 
 
-def matcher(items: DataFrame, n: int = WINDOW, item: str = "item_id", text: str = "text") -> Matcher:
+_built: tuple[object, Matcher] | None = None
+
+
+def built(items: list[tuple[str, str | None]], n: int) -> Matcher:
+    """The automata of a worker; it keeps those of one set of items, built on first use."""
+    global _built
+    key = (n, hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).digest())
+    if _built is None or _built[0] != key:
+        _built = None
+        _built = key, Matcher(items, n)
+    return _built[1]
+
+
+def collected(items: DataFrame, item: str = "item_id", text: str = "text") -> list[tuple[str, str | None]]:
+    """The items, behind the check of their size."""
     size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"{size} bytes of items; one automaton table takes {MAX_ITEM_BYTES}: split the items over several calls")
-    return Matcher([(r[0], r[1]) for r in items.where(F.col(item).isNotNull()).select(F.col(item).cast("string"), text).collect()], n)
+    return sorted((r[0], r[1] or "") for r in items.where(F.col(item).isNotNull()).select(F.col(item).cast("string"), text).collect())
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, items (sorted item ids found), word_spans (maximal runs of hit words
     as [first, end)) and byte_spans (the same runs in the original UTF-8 text)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(matcher(items, n))
+    shared = spark.sparkContext.broadcast(collected(items))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = built(shared.value, n)
         for rows, buf, off in K.pieces(batches):
             counts, found, wspans, bspans = [], [], [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
@@ -137,10 +151,10 @@ def clean(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns. The check runs beside the
     rows, without a join: columns that clash in name with the operator's are kept as they are."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(matcher(items, n))
+    shared = spark.sparkContext.broadcast(collected(items))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = built(shared.value, n)
         for rows, buf, off in K.pieces(batches):
             ok = [not len(m.find(buf[a:b].tobytes())[1]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield rows.filter(pa.array(ok, pa.bool_()))

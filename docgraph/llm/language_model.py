@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(folder)
-        for rows, buf, off in K.pieces(batches, limit=1 << 22):
+        for rows, buf, off in K.pieces(batches, limit=1 << 21):
             tok, first = tokens(buf, off)
             ctx = contexts(tok, first)
             both, back = np.unique(np.concatenate((tok, ctx)), return_inverse=True)

@@ -138,5 +138,5 @@ def within(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == values
 
 
-def table_blocks(table: pa.Table, limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def table_blocks(table: pa.Table, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     yield from K.pieces(iter(table.to_batches()), limit=limit)

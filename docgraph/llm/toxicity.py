@@ -149,7 +149,7 @@ class Model:
         self._tools: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tools": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_tools", "_keys", "_known")} | {"_tools": None}
 
     def _lengths(self, segments: zstd.BufferWithSegments, n: int, which: int) -> np.ndarray:
         if self._tools is None:
@@ -258,13 +258,23 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE)
     return train_texts(*texts, count.get(1, 0), count.get(0, 0))
 
 
+_live: Model | None = None
+
+
+def live(model: Model) -> Model:
+    """A worker's own model with its measured words; it keeps one."""
+    global _live
+    if _live is None or _live.content != model.content or not np.array_equal(_live.weights, model.weights) or _live.prior != model.prior:
+        _live = model
+    return _live
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in K.pieces(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shared.value.scores(buf, off))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(live(model).scores(buf, off))], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -272,11 +282,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all columns, whose score is under the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in K.pieces(batches):
-            yield rows.filter(pa.array(shared.value.scores(buf, off) < THRESHOLD))
+            yield rows.filter(pa.array(live(model).scores(buf, off) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
