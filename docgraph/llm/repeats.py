@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import text_bytes
+from .common import checkpointed, text_bytes
 
 #: Bytes of text in a batch, and about as many for each bucket.
 BATCH_BYTES = 6 << 20
 #: Bytes of text after which a task sends what it has gathered.
 FLUSH_BYTES = 24 << 20
+#: A seed is hot beyond both of these; so the list of hot seeds, which all tasks hold, has at most HOT_SEEDS numbers (8 MB).
+HOT_RUNS = 4096
+HOT_SEEDS = 1_000_000
 SEVERAL = np.uint32(0xFFFFFFFF)
 ASK, KNOWN = 0, 1
 
@@ -70,8 +73,11 @@ def lengths(col: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.fromiter((len(x) for x in col.to_pylist()), np.int64, len(col)) // np.dtype(dtype).itemsize
 
 
-def shared_seeds(based: DataFrame, n: int, seeds: Seeds) -> DataFrame:
-    """(batch, kind 0, keys): for each batch, its seeds that occur elsewhere too."""
+def shared_seeds(based: DataFrame, n: int, seeds: Seeds, with_hot: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """(batch, kind 0, keys): for each batch, its seeds that occur elsewhere too; and the hot seeds, sorted, if asked for.
+
+    Hot is a seed with more than HOT_RUNS runs, and more than a HOT_SEEDS-th of all runs: there are at most HOT_SEEDS such seeds.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -88,16 +94,19 @@ def shared_seeds(based: DataFrame, n: int, seeds: Seeds) -> DataFrame:
             several = np.diff(np.append(head, len(seed))) > 1
             if len(head):
                 several |= np.logical_or.reduceat(twice, head)
-            rows: list[tuple[int, int, bytes, bytes]] = []
+            rows: list[tuple[int, int, bytes, bytes, bytes, int]] = []
             own, where = seed[head], np.where(several, SEVERAL, batch[head])
+            runs = np.diff(np.append(head, len(seed))).astype(np.uint32)
             for bucket, part in by_group(own % K.U64(n)):
-                rows.append((bucket, ASK, own[part].tobytes(), where[part].tobytes()))
+                rows.append((bucket, ASK, own[part].tobytes(), where[part].tobytes(), runs[part].tobytes(), int(runs[part].sum())))
             told = np.repeat(several, np.diff(np.append(head, len(seed))))
             for b, part in by_group(batch[told]):
-                rows.append((b % n, KNOWN, np.unique(seed[told][part]).tobytes(), np.uint32(b).tobytes()))
+                rows.append((b % n, KNOWN, np.unique(seed[told][part]).tobytes(), np.uint32(b).tobytes(), b"", 0))
             if rows:
-                bucket, kind, a, w = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(w, pa.binary())], names=["bucket", "kind", "keys", "where"])
+                bucket, kind, a, w, c, total = zip(*rows, strict=True)
+                binary = pa.binary()
+                cols = [pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, binary), pa.array(w, binary), pa.array(c, binary), pa.array(total, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "kind", "keys", "where", "counts", "runs"])
 
         for rows, buf, off in K.pieces(batches):
             seed, text, twice = seeds(buf, off)
@@ -125,8 +134,19 @@ def shared_seeds(based: DataFrame, n: int, seeds: Seeds) -> DataFrame:
         batch, keys = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(batch, pa.int32()), pa.array([0] * len(batch), pa.int32()), pa.array(keys, pa.binary())], names=["batch", "kind", "keys"])
 
-    asked = based.select("text", "batch").mapInArrow(ask, "bucket int, kind int, keys binary, where binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "batch int, kind int, keys binary")
+    def heavy(table: pa.Table, least: int) -> pa.Table:
+        seed, count = unblob(table.column("keys"), np.uint64), unblob(table.column("counts"), np.uint32).astype(np.int64)
+        own, at = np.unique(seed, return_inverse=True)
+        return pa.table([pa.array(own[np.bincount(at, weights=count, minlength=len(own)) > least].view(np.int64))], names=["seed"])
+
+    asked = based.select("text", "batch").mapInArrow(ask, "bucket int, kind int, keys binary, where binary, counts binary, runs long")
+    hot = np.zeros(0, np.uint64)
+    if with_hot:
+        asked = checkpointed(asked)
+        least = max(HOT_RUNS, (asked.agg(F.sum("runs")).first()[0] or 0) // HOT_SEEDS)
+        found = asked.where(F.col("kind") == ASK).select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(lambda t: heavy(t, least), "seed long")
+        hot = np.sort(np.array([r["seed"] for r in found.collect()], np.int64).view(np.uint64))
+    return asked.select("bucket", "kind", "keys", "where").groupBy("bucket").applyInArrow(answer, "batch int, kind int, keys binary"), hot
 
 
 def within(values: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -68,7 +68,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
         pair = np.unique(np.stack((owner[at].astype(np.uint64), seed[at])), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
         return pair[1].copy(), pair[0].astype(np.int64), np.zeros(pair.shape[1], bool)
 
-    shared = R.shared_seeds(based, n, seeds)
+    shared, _ = R.shared_seeds(based, n, seeds)
 
     def candidates(buf: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
         start, end, first, h, seed, ok = _windows(buf, off, window, anchor)

@@ -6,7 +6,8 @@ whether it occurs there twice. A shard keeps one copy of equal contexts, sorts t
 left by induced sorting and reads off, from the permuted common prefixes, which windows share 200 bytes
 with a suffix beside them; all windows of a context that occurs twice are repeats without
 sorting. Equal windows have equal seeds, so every repeat lies in one shard, also within one
-document. The answer to a batch is, for each context, the runs of repeated windows.
+document. Of a hot seed, such as one in a passage that a third of all documents hold, each window is a context of
+its own and goes by its fingerprint alone, so no shard has to hold all surroundings of one passage. The answer to a batch is, for each context, the runs of repeated windows.
 
 Nulls: a null text is empty. Repeated rows count as occurrences of each other. Texts of under 200 bytes
 stay whole. Empty tables give empty results.
@@ -56,14 +57,21 @@ def _runs(seed: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(head), np.flatnonzero(tail) + 1
 
 
-def _contexts(buf: np.ndarray, off: np.ndarray, keys: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
-    """Starts, ends (in windows), seeds and fingerprints of the contexts of a block whose seeds are among the keys."""
+def _contexts(buf: np.ndarray, off: np.ndarray, keys: np.ndarray, hot: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
+    """Starts, ends (in windows), seeds, fingerprints of the contexts of a block whose seeds are among the keys, and whether the seed is hot."""
     seed, ok = _windows(buf, off, n, k)
     a, b = _runs(seed, ok)
     mine = R.within(seed[a], keys)
     a, b = a[mine], b[mine]
+    is_hot = R.within(seed[a], hot)
+    if is_hot.any():
+        size = np.where(is_hot, b - a, 1)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        single = np.repeat(is_hot, size)
+        a, b = np.repeat(a, size) + step, np.where(single, np.repeat(a, size) + step + 1, np.repeat(b, size))
+        is_hot = single
     prints = K.ranges(K.prefix(K.BYTE[buf], K.BASE), a, b + n - 1, K.BASE) if len(a) else np.zeros(0, np.uint64)
-    return a, b, seed[a], prints
+    return a, b, seed[a], prints, is_hot
 
 
 def _gather(buf: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -100,7 +108,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         a, _ = _runs(seed, ok)
         return seed[a], np.searchsorted(off, a, "right") - 1, R.within(seed[a], several)
 
-    shared = R.shared_seeds(based, n_batches, seeds)
+    shared, hot_seeds = R.shared_seeds(based, n_batches, seeds, with_hot=True)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_seeds)
 
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
         keys = R.unblob(told.column("keys"), np.uint64)
@@ -108,10 +117,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         batch = 0
         for rows, buf, off in R.table_blocks(docs):
             batch = rows.column(rows.schema.get_field_index("batch"))[0].as_py()
-            a, b, seed, prints = _contexts(buf, off, keys, window, gram)
+            a, b, seed, prints, is_hot = _contexts(buf, off, keys, hot.value, window, gram)
             own, first, count = np.unique(prints, return_index=True, return_counts=True)
-            size = b[first] - a[first] + window - 1
-            parts.append((seed[first], own, count, size, _gather(buf, a[first], size)))
+            size = np.where(is_hot[first], 0, b[first] - a[first] + window - 1)
+            parts.append((np.where(is_hot, prints, seed)[first], own, count, size, _gather(buf, a[first], size)))
         got = []
         if parts:
             seed, prints, count, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -137,7 +146,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         # a seed with one context, all of whose windows are repeats already, has nothing to sort
         _, which, alike = np.unique(R.unblob(table.column("seeds"), np.uint64)[first], return_inverse=True, return_counts=True)
         again = np.zeros(int(size[first].sum()), bool)
-        for part in _portions(np.flatnonzero((alike[which] > 1) | ~whole), which, size[first]):
+        for part in _portions(np.flatnonzero(((alike[which] > 1) | ~whole) & (size[first] > 0)), which, size[first]):
             place = np.repeat(start[part] - (np.cumsum(size[first][part]) - size[first][part]), size[first][part])
             here = np.cumsum(size[first][part]) - size[first][part]
             again[place + np.arange(len(place))] = _repeated(_gather(text, begin[first][part], size[first][part]), here, size[first][part], window)
@@ -146,7 +155,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         last = np.repeat(start + size[first] - window, size[first])
         mask = (mask | again) & (np.arange(len(mask)) <= last)
         a, b = K.spans(mask)
-        owner = np.searchsorted(start, a, "right") - 1
+        owner = np.searchsorted(start + size[first], a, "right")
+        # windows of hot seeds came without text
+        bare = np.flatnonzero(whole & (size[first] == 0))
+        a, b, owner = np.concatenate((a, start[bare])), np.concatenate((b, start[bare] + 1)), np.concatenate((owner, bare))
+        order = np.argsort(owner, kind="stable")
+        a, b, owner = a[order], b[order], owner[order]
         lo, hi = np.searchsorted(owner, np.arange(len(own))), np.searchsorted(owner, np.arange(len(own)), "right")
         got = []
         for batch, part in R.by_group(source):
@@ -171,7 +185,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         x, y = (R.unblob(mine.column(c), np.int32)[order].astype(np.int64) for c in ("first", "end"))
         counts, removed, kept = [], [], []
         for _, buf, off in R.table_blocks(docs):
-            a, _, _, own = _contexts(buf, off, keys, window, gram)
+            a, _, _, own, _ = _contexts(buf, off, keys, hot.value, window, gram)
             lo, hi = np.searchsorted(prints, own), np.searchsorted(prints, own, "right")
             k = hi - lo
             runs = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))

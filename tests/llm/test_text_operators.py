@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph.llm import decontamination, language_model, near_dedup, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from docgraph.llm import decontamination, language_model, near_dedup, packing, repeats, substring_dedup, suffix_dedup, token_counts, toxicity
 from docgraph.llm.tokens import encoder
 
 DOC = "doc_id long, text string"
@@ -58,7 +58,9 @@ def empty(spark):
     return spark.createDataFrame([], DOC)
 
 
-def test_suffix_dedup(spark, docs, empty):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_RUNS", hot)
     expected = sorted(suffix_dedup.brute_force(corpus()))
     for d in (docs, clash(docs)):
         got = suffix_dedup.digests(suffix_dedup.dedup(d)).collect()
