@@ -15,10 +15,11 @@ from ..model import IN
 from ..storage import checkpointed
 
 
-def steps(edges: DataFrame, direction: str) -> DataFrame:
+def steps(edges: DataFrame, direction: str, distinct: bool = True) -> DataFrame:
     """node, to: one step of a walk. IN goes from heads to tails."""
     a, b = ("head", "tail") if direction == IN else ("tail", "head")
-    return edges.select(F.col(a).alias("node"), F.col(b).alias("to")).distinct()
+    made = edges.select(F.col(a).alias("node"), F.col(b).alias("to"))
+    return made.distinct() if distinct else made
 
 
 def reach(edges: DataFrame, roots: DataFrame, direction: str, max_depth: int | None = None) -> DataFrame:
@@ -56,12 +57,21 @@ def closure(edges: DataFrame, direction: str) -> DataFrame:
 
 def chain(edges: DataFrame, roots: DataFrame, direction: str, depth: int) -> DataFrame:
     """Like reach with max_depth, for small depths: unrolled joins that the optimizer sees as one plan."""
-    step = steps(edges, direction)
-    level = roots.select(F.col("key").alias("root"), F.col("key").alias("node")).distinct()
-    found = level.withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
-        level = level.join(step, "node").select("root", F.col("to").alias("node"))
-        found = found.unionByName(level.withColumn("depth", F.lit(d)))
+    step = steps(edges, direction, distinct=False)  # the last step removes repeats; edges differ but for labels and owners
+    level = roots.select(F.col("key").alias("root"), F.col("key").alias("n0"))
+    if direction == IN:
+        # paths fan out: each level by itself, so that near vertices aren't repeated for far ones
+        level = level.withColumnRenamed("n0", "node")
+        found = level.withColumn("depth", F.lit(0))
+        for d in range(1, depth + 1):
+            level = level.join(step, "node").select("root", F.col("to").alias("node"))
+            found = found.unionByName(level.withColumn("depth", F.lit(d)))
+    else:
+        # references mostly lead to one document: one row for each path, one join for each step
+        for d in range(1, depth + 1):
+            level = level.join(step.select(F.col("node").alias(f"n{d - 1}"), F.col("to").alias(f"n{d}")), f"n{d - 1}", "left")
+        on_path = F.posexplode(F.array(*[F.col(f"n{d}") for d in range(depth + 1)])).alias("depth", "node")
+        found = level.select("root", on_path).where("node IS NOT NULL").select("root", "node", "depth")
     return found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
