@@ -27,7 +27,7 @@ from . import kernels as K
 from .tokens import encoder
 
 CAPACITY = 2048
-POOL = 8192
+POOL = 4096
 
 
 def fill(count: dict[int, int], capacity: int) -> dict[int, int]:
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                     cols["ids"] = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-        for batch, buf, off in K.pieces(batches, limit=1 << 21):
+        for batch, buf, off in K.pieces(batches, limit=1 << 20):
             ids, first = enc.encode(buf, off)
             for doc, a, b in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 packer.add(doc, np.append(ids[a:b], np.uint32(end_id)))

@@ -4,7 +4,7 @@ A chunk is a run of ASCII white space together with what follows up to the next
 punctuation after an ASCII letter starts another chunk. The tokenizers here never join across these
 places, so the ids of a text are those of its chunks in order; a cut is made only after an ASCII
 character. Each worker encodes a chunk once and keeps its ids
-in a table that is emptied when it has grown to `MAX_CHUNKS`; ids never depend on what is kept.
+in a table; when that has grown to `MAX_CHUNKS`, what was seen once is dropped. Ids never depend on what is kept.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 
 from . import kernels as K
 
-MAX_CHUNKS = 1_500_000
+MAX_CHUNKS = 500_000
 
 
 STOP = np.zeros(256, bool)
@@ -50,13 +50,27 @@ class Encoder:
         self.slot = np.zeros(0, np.int64)
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)  # whether a key was seen in a later block too
+
+    def _forget(self) -> None:
+        """Drops what was seen in one block only; most chunks of a text are seen never again."""
+        keep = self.again
+        if 2 * keep.sum() > MAX_CHUNKS:
+            self._clear()
+            return
+        slot = self.slot[keep]
+        size = self.start[slot + 1] - self.start[slot]
+        total = np.concatenate(([0], np.cumsum(size)))
+        self.ids = self.ids[np.repeat(self.start[slot] - total[:-1], size) + np.arange(total[-1])]
+        self.keys, self.slot, self.start = self.keys[keep], np.arange(len(slot)), total
+        self.again = np.zeros(len(slot), bool)
 
     def _learn(self, texts: list[str], keys: np.ndarray, at: np.ndarray) -> None:
         sizes, ids = self.encode_batch(texts)
         slots = np.arange(len(texts)) + len(self.start) - 1
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
         self.ids = np.concatenate((self.ids, ids))
-        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
+        self.keys, self.slot, self.again = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots), np.insert(self.again, at, False)
 
     def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The slot of each chunk; learns what is new."""
@@ -66,9 +80,10 @@ class Encoder:
             hashes = np.where(marks[end] == marks[start], K.word_hashes(K.LOWER[buf], start, end), hashes)
         own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(own) > MAX_CHUNKS:
-            self._clear()
+            self._forget()
         at = np.searchsorted(self.keys, own)
         new = np.ones(len(own), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != own
+        self.again[at[~new]] = True
         if new.any():
             pick, raw = first[new], buf.tobytes()
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]

@@ -43,7 +43,7 @@ SIGNIFICANT = 14.0
 #: Least share of a class's texts with a fragment.
 SHARE = 0.03
 LEVELS = (1, 2, 3, 4, 5, 6)
-CACHE = 1_500_000
+CACHE = 500_000
 THRESHOLD = 0.3
 
 
