@@ -115,6 +115,13 @@ def graph_owned_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edge_rows(graph.owned_by(edges, docs["customer"].where(F.col("doc")["c_custkey"] % 10 == 0)))
 
 
+@query(STAR_EDGES)
+def graph_owned_edges_all(spark: SparkSession, sf: str) -> DataFrame:
+    """graph_owned_edges with all star documents as owners."""
+    docs, edges = c.star(spark, sf)
+    return edge_rows(graph.owned_by(edges, c.keys_of(docs)))
+
+
 @query(f"""
 WITH e AS ({STAR_EDGES}) SELECT head AS key, 'IN' AS direction, label, tail AS other FROM e WHERE head LIKE 'shop/nation/%'
 UNION ALL SELECT tail, 'OUT', label, head FROM e WHERE tail LIKE 'shop/nation/%'
@@ -812,6 +819,16 @@ def delta_unfold(spark: SparkSession, sf: str) -> DataFrame:
     return delta.unfold(edges, docs["nation"].where(F.col("doc")["n_nationkey"] == 3))
 
 
+@query(f"""
+WITH e AS ({STAR_EDGES}) SELECT 'an' AS op, tail AS name FROM e UNION SELECT 'an', head FROM e
+UNION ALL SELECT 'ae', tail || '--' || label || '->' || head FROM e
+""")
+def delta_unfold_all(spark: SparkSession, sf: str) -> DataFrame:
+    """delta_unfold with all star documents as keys."""
+    docs, edges = c.star(spark, sf)
+    return delta.unfold(edges, c.keys_of(docs))
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN 'removed' WHEN o_orderkey % 10 = 2 THEN 'added' ELSE 'changed' END AS state FROM orders WHERE o_orderkey % 10 IN (1, 2, 3)
 """)
