@@ -445,11 +445,12 @@ def walk_expired(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def walk_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions with the whole tree below them as JSON, to two levels."""
+    """Regions with the whole tree below them as JSON: nations, then suppliers."""
     docs = c.documents(spark, sf, "supplier", "nation", "region")
     edges = c.edges_of(docs)
     reached = walk.reach(edges, docs["region"], IN)
-    store = docs["region"].select("key", F.struct(F.col("doc")["r_name"].alias("name")).alias("doc")).unionByName(docs["nation"].select("key", F.struct(F.col("doc")["n_name"].alias("name")).alias("doc")))
+    named = lambda n: docs[n].select("key", F.struct(F.col("doc")[f"{n[0]}_name"].alias("name")).alias("doc"))
+    store = named("region").unionByName(named("nation")).unionByName(named("supplier"))
     return red.by_tree(walk.tree(reached, edges, IN), store, lambda t: t).select(key_text("root").alias("root"), "value")
 
 
