@@ -7,7 +7,9 @@ dictionaries have one size and share a carrier string.
 
 Scoring: a window is one word between a carrier, which both dictionaries hold, and a tail that none
 holds, so a window's two compressed lengths differ only by what the dictionaries know of the word. (zstd finds no match
-that starts in a block's last 8 bytes: hence the tail.) The advantage is the length with the
+that starts in a block's last 8 bytes: hence the tail.) A word of more than `LONG` bytes, such as a text without white space, becomes
+windows of `PART` bytes that hold every fragment whole: about the size of a word, so that counts and shares compare with those of other
+texts, and the dictionaries stay in zstd's window. The advantage is the length with the
 ordinary dictionary less the length with the toxic one. A text's features are how many of its
 windows reach each of the `LEVELS` of advantage, in either direction, alone and by the number of windows; a logistic
 model on the other half of the sample turns them into a probability at the classes' true frequency.
@@ -37,6 +39,10 @@ SAMPLE = 2000
 CARRIER = bytes(range(128, 152))
 TAIL = bytes(range(200, 212))
 FRAGMENTS = range(4, 10)
+#: Words of more bytes become windows of PART bytes, of which neighbours share SHARED: the longest fragment less one.
+LONG = 64
+PART = 32
+SHARED = FRAGMENTS[-1] - 1
 DICT_BYTES = 400
 #: Least log odds times root of count of a fragment, in the limit of many texts.
 SIGNIFICANT = 14.0
@@ -140,6 +146,23 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
+def split(low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words as windows; words of more than `LONG` bytes are cut between characters. Starts, ends, whether a window is cut at its start (1) and end (2), the first window of each text."""
+    size = end - start
+    if not len(size) or size.max() <= LONG:
+        return start, end, np.zeros(len(start), np.uint8), first
+    step = PART - SHARED
+    parts = np.where(size > LONG, -(-(size - SHARED) // step), 1)
+    begin = np.concatenate(([0], np.cumsum(parts)))
+    word = np.repeat(np.arange(len(size)), parts)
+    a = start[word] + (np.arange(begin[-1]) - begin[word]) * step
+    b = np.where(size[word] > LONG, np.minimum(a + PART, end[word]), end[word])
+    for _ in range(3):
+        a = a - (low[a] & 0xC0 == 0x80) * (a > start[word])
+        b = b + (low[np.minimum(b, len(low) - 1)] & 0xC0 == 0x80) * (b < end[word])
+    return a, b, ((a > start[word]) + 2 * (b < end[word])).astype(np.uint8), begin[first]
+
+
 class Model:
     def __init__(self, toxic: bytes, ordinary: bytes):
         n = max(len(toxic), len(ordinary))
@@ -161,7 +184,7 @@ class Model:
             self._keys, self._known = np.zeros(0, np.uint64), np.zeros(0, np.int8)
         return np.fromiter(map(len, self._tools[which].multi_compress_to_buffer(segments, threads=1)), np.int64, n)
 
-    def _measure(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _measure(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, cut: np.ndarray) -> np.ndarray:
         size = end - start
         full = size + 2 + len(CARRIER) + len(TAIL)
         to = np.cumsum(full)
@@ -174,24 +197,27 @@ class Model:
         inner = np.arange(int(size.sum()))
         before = np.cumsum(size) - size
         out[np.repeat(at + len(CARRIER) + 1 - before, size) + inner] = low[np.repeat(start - before, size) + inner]
+        # no fragment begins or ends at a cut
+        out[at[cut & 1 > 0] + len(CARRIER)] = 255
+        out[to[cut & 2 > 0] - len(TAIL) - 1] = 255
         segments = zstd.BufferWithSegments(out.tobytes(), np.stack((at, full), 1).astype("<u8").tobytes())
         return np.clip(self._lengths(segments, len(start), 0) - self._lengths(segments, len(start), 1), -100, 100).astype(np.int8)
 
     def advantages(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of every word of a block, and the first word of each text. A worker measures a word once and keeps the result for a while."""
+        """Of every window of a block, and the first window of each text. A worker measures a window once and keeps the result for a while."""
         low = K.LOWER[buf]
-        start, end, first = K.words(low, off, ~K.SPACE)
+        start, end, cut, first = split(low, *K.words(low, off, ~K.SPACE))
         if not len(start):
             return np.zeros(0, np.int8), first
         if self._tools is None:
-            self._measure(low, start[:1], end[:1])
-        own, at, back = np.unique(K.word_hashes(low, start, end), return_index=True, return_inverse=True)
+            self._measure(low, start[:1], end[:1], cut[:1])
+        own, at, back = np.unique(K.word_hashes(low, start, end) ^ cut, return_index=True, return_inverse=True)
         if len(self._keys) + len(own) > CACHE:
             self._keys, self._known = np.zeros(0, np.uint64), np.zeros(0, np.int8)
         new = ~among(own, self._keys)
         if new.any():
             where = np.searchsorted(self._keys, own[new])
-            got = self._measure(low, start[at[new]], end[at[new]])
+            got = self._measure(low, start[at[new]], end[at[new]], cut[at[new]])
             self._keys, self._known = np.insert(self._keys, where, own[new]), np.insert(self._known, where, got)
         return self._known[np.searchsorted(self._keys, own)][back], first
 

@@ -298,6 +298,39 @@ def test_toxicity(spark, empty):
     assert toxicity.train(d, lab.limit(0), F.lit(True)).prior == 0.0
 
 
+def test_toxicity_without_spaces():
+    rng = random.Random(5)
+    bad = ["grubnak", "snorvelt", "plockish"]
+    texts = [[sentence(rng, 60).split() for _ in range(200)] for _ in range(2)]
+    for words in texts[1]:
+        for _ in range(4):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+    ordinary, toxic = ([" ".join(w) for w in t] for t in texts)
+    model = toxicity.train_texts(toxic, ordinary, 200, 200)
+    for sep in ("_", "\u00a0", ""):
+        clean = sep.join(sentence(rng, 2000).split())
+        assert len(clean.encode()) > 9000
+        for at in (0, 5000, len(clean)):
+            words = sep.join([""] + 12 * bad + [""])
+            got = model.scores(*toxicity._text_block([clean, clean[:at] + words + clean[at:]]))
+            assert got[0] < toxicity.THRESHOLD <= got[1]
+
+
+def test_split_holds_every_fragment():
+    from docgraph.llm import kernels as K
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aé漢😀_") for _ in range(n)) for n in (0, 1, 63, 64, 65, 500)] + ["a b " + "漢" * 100]
+    buf, off = toxicity._text_block(texts)
+    start, end, cut, first = toxicity.split(buf, *K.words(buf, off, ~K.SPACE))
+    for i, t in enumerate(texts):
+        parts = [bytes(buf[start[k] : end[k]]) for k in range(first[i], first[i + 1])]
+        assert all(p.decode() for p in parts)
+        n = toxicity.FRAGMENTS[-1]
+        assert all(any(w[at : at + n] in p for p in parts) for w in map(str.encode, t.split()) for at in range(max(1, len(w) - n + 1)))
+        assert [bool(cut[k] & 1) for k in range(first[i], first[i + 1])].count(False) == len(t.split())
+
+
 def test_text_column_slices():
     from docgraph.llm import kernels as K
 
