@@ -1,9 +1,11 @@
 """Each operator against its brute-force version, and its edge cases."""
 
 import hashlib
+import math
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,17 @@ def test_near_dedup(spark, docs, empty, monkeypatch, sizes):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_signatures_drop_few_links():
+    """A pair at similarity 0.8 is dropped by its signature less often than by banding."""
+    sig = np.zeros((129, 128), np.uint32)
+    for k in range(129):
+        sig[k, k:] = 1  # k slots equal those of the first row
+    sig = np.concatenate((np.zeros((1, 128), np.uint32), sig))
+    kept = near_dedup._likely(0, np.arange(1, 130), np.arange(130), np.full(130, 100), sig, 80) - 1
+    missed = sum(math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) for k in set(range(129)) - set(kept.tolist()))
+    assert missed < (1 - 0.8**4) ** 32
+
+
 def test_near_dedup_nulls_and_repeated_rows(spark):
     rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (1, "A B c d e f g"), (7, None), (8, " ")]
     d = spark.createDataFrame(rows, DOC)
