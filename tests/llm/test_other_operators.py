@@ -77,6 +77,15 @@ def test_neighbours_few_and_none(spark):
     assert neighbours.search(few.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [8 << 20, 1024])
+def test_neighbours_of_a_handful(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", block)
+    axes = np.eye(64)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate([axes[0], -axes[0], axes[1], axes[2], -axes[2], axes[3] - axes[0]])] + [(50, [0.0, 1.0] + [0.0] * 62)]
+    got = sorted(tuple(r) for r in neighbours.search(spark.createDataFrame(rows, VEC), F.lit(True)).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(neighbours.brute_force(rows, {i for i, _ in rows}))]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7)]
