@@ -3,11 +3,11 @@
 Windows of 200 bytes are dealt out by seed (see `repeats`): a maximal run of windows with one shared seed
 is a *context*. Each batch sends every distinct context once to the shard of its seed, with
 whether it occurs there twice. A shard keeps one copy of equal contexts, sorts the suffixes of what is
-left by induced sorting and reads off, from the permuted common prefixes, which windows share 200 bytes
-with a suffix beside them; all windows of a context that occurs twice are repeats without
+left by induced sorting and reads off which windows share 200 bytes with a suffix beside them: from one fingerprint
+of 200 bytes each, in place of the permuted common prefixes (`suffix.permuted_common_prefixes`, which only a test calls); all windows of a context that occurs twice are repeats without
 sorting. Equal windows have equal seeds, so every repeat lies in one shard, also within one
-document. Of a hot seed, such as one in a passage that a third of all documents hold, each window is a context of
-its own and goes by its fingerprint alone, so no shard has to hold all surroundings of one passage. The answer to a batch is, for each context, the runs of repeated windows.
+document. Of a hot seed (more than `repeats.HOT_RUNS` runs, and more than a millionth of all), such as one in a passage that a third of all
+documents hold, each window is a context of its own and goes by its 64-bit fingerprint alone, without induced sorting, so no shard has to hold all surroundings of one passage. The answer to a batch is, for each context, the runs of repeated windows.
 
 Nulls: a null text is empty. Repeated rows count as occurrences of each other. Texts of under 200 bytes
 stay whole. Empty tables give empty results.
