@@ -8,13 +8,15 @@ chosen ones.
 
 Template: each turn is `<|turn|>` role newline text `<|end|>` newline. Inside roles and texts, `\\\\` escapes itself and
 is put into everything that looks like a control string of this or another common template (`<|`, `<s>`, `</s>`,
-`[INST]`, `[/INST]`); a newline in a role is escaped too. Unescaping drops one backslash before each character, so
-any text comes back exactly. The loss mask lists [start, end) code points of assistant texts in the formatted string.
+`[INST]`, `[/INST]`). In a role, a newline becomes a backslash and `n`, so the first raw newline of a turn ends its role.
+Unescaping drops one backslash before each character (in roles, `\\n` is a newline), so any text comes back exactly. No pattern
+repeats a group, so roles and texts may have any length. The loss mask lists [start, end) code points of assistant texts in the formatted string.
 
 Nulls: a null text or role is empty; a null score counts 0; a message whose parent is null or missing is a root. A message that is its own ancestor
 is on no path from a root, and so is a message without an id. Repeated node ids are an error of the input: rows of one id are reduced to the one with the smallest role and text.
 In chains (`from_turns`), rows of one turn are ordered by role and text, and repeated rows are turns of their own; null turns come first.
-Rows with a null conversation form one conversation. Empty tables give empty results.
+Rows with a null conversation form one conversation. Empty tables give empty results. Columns beyond those named are kept by
+`formatted` (but for formatted and loss_mask, which it sets) and not read elsewhere. One conversation is one row, so its texts together must fit a row.
 """
 
 from __future__ import annotations
@@ -36,6 +38,16 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(c: Column) -> Column:
+    # between doubled backslashes, a backslash stands for itself only where n follows
+    parts = F.transform(F.split(c, r"\\\\"), lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\"), F.lit("")))
+    return F.array_join(parts, "\\")
+
+
 def from_turns(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role, text as a reply tree in which each row answers the one before it: tree, node (number in the conversation), parent, role, text, score."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
@@ -92,33 +104,34 @@ def formatted(conversations: DataFrame) -> DataFrame:
     piece = F.transform(
         "turns",
         lambda t: F.struct(
-            F.concat(F.lit(TURN), F.regexp_replace(escape(t["role"]), "\n", "\\\\\n"), F.lit("\n")).alias("head"),
+            F.concat(F.lit(TURN), escape_role(t["role"]), F.lit("\n")).alias("head"),
             escape(t["text"]).alias("body"), F.lit(END + "\n").alias("tail"), (t["role"] == "assistant").alias("learn"),
         ),
     )
-    made = conversations.withColumn("pieces", piece)
+    pieces = "pieces"
+    while pieces in conversations.columns:
+        pieces += "_"
+    made = conversations.withColumn(pieces, piece)
     # running code point positions, one number per turn
     start = F.aggregate(
-        "pieces", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask")),
+        pieces, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
             F.when(p["learn"], F.concat(acc["mask"], F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), (acc["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"))))).otherwise(acc["mask"]).alias("mask"),
         ),
     )
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    return made.withColumns({"formatted": text, "loss_mask": start["mask"]}).drop("pieces")
+    text = F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
+    return made.withColumns({"formatted": text, "loss_mask": start["mask"]}).drop(pieces)
 
 
 def read_back(c: Column) -> Column:
     """Turns (role, text) of a formatted string."""
     # a turn's text ends at the first control string: inside texts these are escaped
     turns = F.slice(F.split(c, r"<\|turn\|>"), 2, 1 << 30)
-    head = r"(?s)^((?:[^\\\n]|\\.)*)\n.*$"
-
     def one(t: Column) -> Column:
-        role = F.regexp_extract(t, head, 1)
+        role = F.substring_index(t, "\n", 1)
         body = F.substr(t, F.length(role) + F.lit(2), F.length(t) - F.length(role) - F.lit(2 + len(END)))
-        return F.struct(unescape(role).alias("role"), unescape(body).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), unescape(body).alias("text"))
 
     return F.transform(turns, one)
 

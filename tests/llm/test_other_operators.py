@@ -31,6 +31,17 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.formatted(chat.ranked_paths(chat.from_turns(df.limit(0))))).count() == 0
 
 
+@pytest.mark.parametrize("role", ["r" * 1_000_000, "\\" * 1_000_000, "\n" * 200_000, "\\n\n\\\n\\\\n" * 1000])
+def test_chat_with_very_long_roles(spark, role):
+    """No pattern may recurse once per character."""
+    df = spark.createDataFrame([(1, 0, role, role), (1, 1, "assistant", "a")], CONV).withColumn("pieces", F.lit("mine"))
+    shaped = chat.ranked_paths(chat.from_turns(df)).withColumn("pieces", F.lit("mine"))
+    made = chat.formatted(shaped)
+    assert made.select("pieces").first()[0] == "mine"
+    row = chat.digests(made).first()
+    assert (row.n_turns, row.turns_sha256) == (2, hashlib.sha256(f"{role}\n{role}\nassistant\na\n".encode()).hexdigest())
+
+
 def test_reply_tree_branches(spark):
     rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 3, 1, "assistant", "b", 2.0), ("t", 4, 3, "user", "c", None), ("t", 5, 99, "user", "lost", 9.0), ("t", 6, 7, "x", "loop", 1.0), ("t", 7, 6, "x", "loop", 1.0), ("t", 8, 7, "x", "hangs on the loop", 1.0), ("u", 1, None, "user", None, 0.0)]
     m = spark.createDataFrame(rows, "tree string, node int, parent int, role string, text string, score double")
