@@ -5,12 +5,12 @@ rest goes to a pool. The pool is a histogram of lengths; for the longest remaini
 subset-sum dynamic program over a bitset (one big integer, lengths in falling order, counts split
 into powers of two) finds the multiset of remaining lengths that fills the sequence closest to its capacity,
 and backtracking gives how often each length is used. A multiset is applied as often as the counts
-allow. Pools are packed where the documents lie: no shuffle, and memory is bounded by `POOL`
-pieces. What a pool can't fill stays for the next; at a partition's end, the pieces of sequences with slack
-are laid end to end and cut at the capacity, so only one sequence of each partition has padding.
+allow. Pools are packed where the documents lie, without a shuffle. Pieces of sequences with slack go back to the pool and are tried
+again with new ones; of these, and at a partition's end of all that is left, more than `LOOSE` are laid end to end and cut at the capacity.
+So a pool never holds more than `POOL` pieces, each pass takes most of it, and only one sequence of each partition has padding.
 
 Nulls: a null text is empty and holds the end id alone. Repeated rows are packed as rows of their
-own. An empty table gives no rows. Further columns are not read.
+own. An empty table gives no rows. Further columns are not read. A very long text is encoded at once; its full pieces go out before the next block.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .tokens import encoder
 
 CAPACITY = 2048
 POOL = 4096
+#: Pieces without an exact fill that wait for the next pool.
+LOOSE = POOL // 4
 
 
 def fill(count: dict[int, int], capacity: int) -> dict[int, int]:
@@ -104,21 +106,28 @@ class Packer:
                     self._emit(pieces)
                 else:
                     loose += pieces
-        self.pool = loose + [p for ps in by.values() for p in ps]
+        cut = max(0, len(loose) - LOOSE)
+        self.pool = self._lay(loose[:cut]) + loose[cut:] + [p for ps in by.values() for p in ps]
 
-    def finish(self) -> None:
-        self.pack()
+    def _lay(self, pieces: list[tuple]) -> list[tuple]:
+        """Sequences of pieces laid end to end and cut at the capacity; returns the pieces of the last one, if it isn't full."""
         now, room = [], self.capacity
-        for doc, start, ids, total in self.pool:
-            while len(ids) > room:
+        for doc, start, ids, total in pieces:
+            while len(ids) >= room:
                 now.append((doc, start, ids[:room], total))
                 start, ids = start + room, ids[room:]
                 self._emit(now)
                 now, room = [], self.capacity
-            now.append((doc, start, ids, total))
-            room -= len(ids)
-        if now:
-            self._emit(now)
+            if len(ids):
+                now.append((doc, start, ids, total))
+                room -= len(ids)
+        return now
+
+    def finish(self) -> None:
+        self.pack()
+        rest = self._lay(self.pool)
+        if rest:
+            self._emit(rest)
         self.pool = []
 
     def take(self) -> list[tuple]:
