@@ -2,13 +2,16 @@
 
 A leaf holds the bytes and tokens of one chunk (a pre-token with its white space, see `tokens`); inner nodes hold sums.
 Where a chunk ends depends on two neighbouring bytes only, so an edit re-encodes the leaves that it
-touches and one leaf on either side as boundary context; the sum goes to the first of these leaves, the others
-become empty, and only their ancestors are updated. Counts equal those of the whole new text.
+touches and one leaf on either side as boundary context. The chunks of that region take the place of these leaves, spread
+over the smallest subtree that has room for them (a quarter of the root's leaves stay free, fewer further down), and only this
+subtree and its ancestors get new sums; when the root has no room, the tree doubles. So leaves stay single
+chunks however many edits meet at one place, and an edit encodes what it inserts and some chunks. Counts equal those of the whole new text.
 
-Trees travel as one binary column (int32: leaves' power of two, then bytes and tokens of all nodes, heap order).
+Trees travel as one binary column: bytes, then tokens of the leaves (int32), from which loading adds up the inner nodes without encoding.
 Nulls: a null text is empty; null edits are none. Edits are applied in order, each to the text that the one before left; their byte
 offsets are clipped to the text and moved down to the start of a character; an end before its start is the start. Repeated rows are rows
-of their own, empty tables give empty results, and columns beyond those named are not read.
+of their own, and empty tables give empty results. `build` keeps all columns, but replaces those named n_tokens and tree; elsewhere columns beyond
+those named are not read. A very long text is one block and one tree; a run without cuts (such as a megabyte of letters) is one chunk, which an edit in it encodes anew.
 """
 
 from __future__ import annotations
@@ -18,32 +21,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .tokens import Encoder, chunks, encoder
 
 
 class Tree:
-    """Sums over leaves, as two heaps."""
+    """Sums of bytes, tokens and used leaves, as heaps."""
 
     def __init__(self, bytes_: np.ndarray, tokens: np.ndarray):
-        self.size = 1 << max(0, int(len(bytes_) - 1).bit_length())
-        self.sums = np.zeros((2, 2 * self.size), np.int32)
-        self.sums[:, self.size : self.size + len(bytes_)] = bytes_, tokens
-        level = self.size
-        while level > 1:
-            self.sums[:, level // 2 : level] = self.sums[:, level : 2 * level : 2] + self.sums[:, level + 1 : 2 * level : 2]
-            level //= 2
+        n = max(1, len(bytes_))
+        self.size = 1 << (n + n // 3).bit_length()
+        self.sums = np.zeros((3, 2 * self.size), np.int64)
+        self._spread(0, self.size, np.stack((bytes_, tokens)).astype(np.int64))
 
     @classmethod
     def load(cls, raw: bytes) -> Tree:
-        x = np.frombuffer(raw, np.int32)
-        out = cls.__new__(cls)
-        out.size, out.sums = int(x[0]), x[1:].reshape(2, -1).copy()
-        return out
+        return cls(*np.frombuffer(raw, np.int32).reshape(2, -1))
 
     def dump(self) -> bytes:
-        return np.concatenate(([np.int32(self.size)], self.sums.reshape(-1))).astype(np.int32).tobytes()
+        leaves = self.sums[:, self.size :]
+        return leaves[:2, leaves[2] > 0].astype(np.int32).tobytes()
 
     @property
     def tokens(self) -> int:
@@ -60,22 +59,37 @@ class Tree:
                 at += 1
         return at - self.size, before
 
-    def put(self, first: int, last: int, bytes_: int, tokens: int) -> None:
-        """Leaf `first` gets the sums, those up to `last` become empty."""
-        a, b = first + self.size, last + self.size
-        self.sums[:, a : b + 1] = 0
-        self.sums[:, a] = bytes_, tokens
+    def _spread(self, low: int, width: int, leaves: np.ndarray) -> None:
+        """The leaves, evenly over the subtree of `width` leaves from `low`; new sums there and above."""
+        a, n = low + self.size, leaves.shape[1]
+        self.sums[:, a : a + width] = 0
+        at = a + np.arange(n) * width // max(1, n)
+        self.sums[:2, at], self.sums[2, at] = leaves, 1
         while a > 1:
-            a, b = a // 2, b // 2
-            self.sums[:, a : b + 1] = self.sums[:, 2 * a : 2 * b + 2 : 2] + self.sums[:, 2 * a + 1 : 2 * b + 2 : 2]
-
-
-def count(enc: Encoder, text: bytes) -> int:
-    if not text:
-        return 0
-    buf = np.frombuffer(text, np.uint8)
-    start, end, _ = chunks(buf, np.array([0, len(buf)]))
-    return int(enc.counts(buf, start, end).sum())
+            a, width = a // 2, max(1, width // 2)
+            self.sums[:, a : a + width] = self.sums[:, 2 * a : 2 * (a + width) : 2] + self.sums[:, 2 * a + 1 : 2 * (a + width) : 2]
+
+    def put(self, first: int, last: int, bytes_: np.ndarray, tokens: np.ndarray) -> None:
+        """New leaves in place of those from `first` to `last`."""
+        new = np.stack((bytes_, tokens)).astype(np.int64)
+        width, height, top = 1, 0, self.size.bit_length() - 1
+        while True:
+            low = first // width * width
+            high = low + width
+            if high > last:
+                left, right = (self.sums[:, self.size + x : self.size + y] for x, y in ((low, first), (last + 1, high)))
+                used = int(left[2].sum() + right[2].sum()) + new.shape[1]
+                # 1 for a leaf, 3/4 for the root
+                if used <= width * (1 - height / max(1, top) / 4):
+                    break
+            if width == self.size:
+                break
+            width, height = width * 2, height + 1
+        leaves = np.concatenate((left[:2, left[2] > 0], new, right[:2, right[2] > 0]), axis=1)
+        if used > width * (1 - height / max(1, top) / 4):
+            self.__init__(*leaves)  # the root is too small
+        else:
+            self._spread(low, width, leaves)
 
 
 def _touched(tree: Tree, text: bytes, start: int, end: int, new: bytes) -> tuple[int, int, bytes, bytes]:
@@ -105,9 +119,9 @@ def _touched(tree: Tree, text: bytes, start: int, end: int, new: bytes) -> tuple
 
 def edit(tree: Tree, text: bytes, start: int, end: int, new: bytes, enc: Encoder) -> tuple[bytes, int]:
     """The new text and how many bytes were encoded; updates the tree."""
-    first, last, region, now = _touched(tree, text, start, end, new)
-    tree.put(first, last, len(region), count(enc, region))
-    return now, len(region)
+    texts = [text]
+    (done,) = _edit_all([tree], texts, [[{"start": start, "end": end, "text": new.decode()}]], enc)
+    return texts[0], done
 
 
 def _edit_all(trees: list[Tree], texts: list[bytes], edits: list[list | None], enc: Encoder) -> list[int]:
@@ -123,10 +137,10 @@ def _edit_all(trees: list[Tree], texts: list[bytes], edits: list[list | None], e
         off = np.concatenate(([0], np.cumsum([len(p[2]) for p in plans])))
         buf = np.frombuffer(b"".join(p[2] for p in plans), np.uint8)
         start, end, first = chunks(buf, off)
-        total = np.concatenate(([0], np.cumsum(enc.counts(buf, start, end)))) if len(start) else np.zeros(1, np.int64)
-        tokens = total[first[1:]] - total[first[:-1]]
-        for i, (a, b, region, now), n in zip(at, plans, tokens.tolist(), strict=True):
-            trees[i].put(a, b, len(region), n)
+        size = end - start
+        tokens = enc.counts(buf, start, end) if len(start) else size
+        for i, (a, b, region, now), lo, hi in zip(at, plans, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            trees[i].put(a, b, size[lo:hi], tokens[lo:hi])
             texts[i] = now
             done[i] += len(region)
     return done
@@ -159,7 +173,9 @@ def count_edited(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def build(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """docs (doc_id, text, further columns) with n_tokens and tree."""
+    """docs (doc_id, text, further columns) with n_tokens and tree, in place of such columns of the input."""
+
+    docs = docs.drop("n_tokens", "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -168,7 +184,7 @@ def build(docs: DataFrame, tokenizer: str) -> DataFrame:
             cols = [*rows.columns, pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.dump() for t in trees], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[*rows.schema.names, "n_tokens", "tree"])
 
-    return docs.mapInArrow(run, docs.select("*").schema.add("n_tokens", "long").add("tree", "binary"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add("n_tokens", "long").add("tree", "binary"))
 
 
 def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:

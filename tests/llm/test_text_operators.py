@@ -184,6 +184,37 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(1500,), (1100, 1300, 1500, 1900), range(1030, 2040)])
+def test_packing_of_lengths_that_fill_nothing(sizes):
+    """The pool stays small, all ids come out once and all sequences but the last are full."""
+    import time
+
+    rng, packer, seen, most = random.Random(3), packing.Packer(2048, 0), {}, 0
+    n = 20_000 if len(sizes) < 10 else 8_000
+    began = time.perf_counter()
+    lengths = [rng.choice(sizes) for _ in range(n)]
+    full = {}
+    for doc, size in enumerate(lengths):
+        packer.add(doc, np.zeros(size, np.uint32))
+        most = max(most, len(packer.pool))
+        for d, start, ids, total, seq, _ in packer.take():
+            assert total == lengths[d]
+            seen.setdefault(d, []).append((start, len(ids)))
+            full[seq] = full.get(seq, 0) + len(ids)
+    packer.finish()
+    for d, start, ids, _, seq, _ in packer.take():
+        seen.setdefault(d, []).append((start, len(ids)))
+        full[seq] = full.get(seq, 0) + len(ids)
+    assert most < packing.POOL and time.perf_counter() - began < 60
+    assert sorted(full.values())[1:] == [2048] * (len(full) - 1)
+    for d, size in enumerate(lengths):
+        at = 0
+        for start, k in sorted(seen[d]):
+            assert start == at
+            at += k
+        assert at == size
+
+
 def test_fill_is_the_best_subset():
     rng = random.Random(1)
     for _ in range(60):
@@ -224,6 +255,42 @@ def test_edit_encodes_little():
     assert n < 40
 
 
+@pytest.mark.parametrize("where", ["one place", "anywhere", "empty", "backwards"])
+def test_many_edits_encode_little(where):
+    """A thousand edits: what an edit encodes doesn't grow with their number, and the sums stay those of the text."""
+    enc = encoder(TOKENIZER)
+    rng = random.Random(7)
+    text = b"" if where == "empty" else ("word, " * 3000).encode()
+    tree = token_counts._trees(np.frombuffer(text, np.uint8), np.array([0, len(text)]), enc)[0]
+    most = 0
+    for k in range(1000):
+        at = {"one place": 6000, "anywhere": rng.randrange(len(text) + 1), "empty": len(text), "backwards": 0}[where]
+        new = rng.choice([b" added", b"x", b"a b. ", b" "])
+        text, n = token_counts.edit(tree, text, at, at + (rng.randrange(12) if where == "anywhere" else 0), new, enc)
+        most = max(most, n)
+    assert most < 200 and tree.sums[0, 1] == len(text)
+    whole = token_counts._trees(np.frombuffer(text, np.uint8), np.array([0, len(text)]), enc)[0]
+    again = token_counts.Tree.load(tree.dump())
+    assert tree.tokens == whole.tokens == again.tokens and tree.dump() == whole.dump() == again.dump()
+    assert (tree.sums[:, 1 : tree.size] == tree.sums[:, 2::2] + tree.sums[:, 3::2]).all()
+
+
+def test_edit_after_a_long_insertion():
+    enc = encoder(TOKENIZER)
+    tree = token_counts._trees(np.zeros(0, np.uint8), np.array([0, 0]), enc)[0]
+    text, n = token_counts.edit(tree, b"", 0, 0, b"some words " * 90_000, enc)
+    assert n == len(text)
+    text, n = token_counts.edit(tree, text, 500_000, 500_000, b"x", enc)
+    assert n < 60
+
+
+def test_token_counts_with_clashing_columns(spark, docs):
+    d = clash(docs).withColumn("tree", F.lit("x")).withColumn("n_tokens", F.lit("x")).withColumn("edits", F.expr("array(named_struct('start', 0L, 'end', 1L, 'text', 'y'))"))
+    built = token_counts.build(d, TOKENIZER)
+    assert built.columns.count("tree") == built.columns.count("n_tokens") == 1 and built.first().batch == "x"
+    assert token_counts.apply_edits(built, TOKENIZER).count() == docs.count() == token_counts.count_edited(d, TOKENIZER).count()
+
+
 def kn_brute(train, tests):
     """Straight from the definition, on word lists."""
     import math
