@@ -65,18 +65,23 @@ def vectors(n=400, dim=16, seed=0):
     return rows + [(1000 + i, rows[0][1]) for i in range(12)] + [(2000, None), (2050, [0.0] * dim), (2051, [math.nan] * dim), (2052, [None] + [1.0] * (dim - 1)), (2053, [1.0]), (2054, []), (None, rows[3][1])]
 
 
+def same(got, exact):
+    """The share of neighbours found; found scores are exact."""
+    near = {}
+    for q, _, i, s in exact:
+        near.setdefault((q, i), []).append(s)
+    assert all(any(s == pytest.approx(x, abs=1e-14) for x in near[q, i]) for q, _, i, s in got if (q, i) in near)
+    return len({r[:1] + r[2:3] for r in got} & {r[:1] + r[2:3] for r in exact}) / len({r[:1] + r[2:3] for r in exact})
+
+
 @pytest.mark.parametrize("part", [4096, 4])
 def test_neighbours(spark, monkeypatch, part):
     monkeypatch.setattr(neighbours, "PART", part)
     rows = vectors()
-    df = spark.createDataFrame(rows, VEC).withColumn("id", F.lit("x")).withColumn("bucket", F.lit(1))
+    df = spark.createDataFrame(rows, VEC).withColumn("id", F.lit("x")).withColumn("bucket", F.lit(1)).withColumn("row", F.lit("x"))
     got = sorted(tuple(r) for r in neighbours.search(df, F.col("id") % 50 == 0).collect())
-    usable = [(i, v) for i, v in rows if i is not None and v is not None and len(v) == 16]
-    exact = sorted(neighbours.brute_force(usable, {i for i, _ in rows if i is not None and i % 50 == 0}))
-    found = len({r[:1] + r[2:3] for r in got} & {r[:1] + r[2:3] for r in exact})
-    assert found >= 0.9 * len(exact)
-    score = {(q, i): s for q, _, i, s in exact}
-    assert all(s == pytest.approx(score[q, i], abs=1e-14) for q, _, i, s in got if (q, i) in score)
+    exact = sorted(neighbours.brute_force(rows, {i for i, _ in rows if i is not None and i % 50 == 0}))
+    assert same(got, exact) >= 0.9
     # copies of one vector tie and go by their number
     assert [r[2] for r in got if r[0] == 0] == [1000, 1001, 1002, 1003, 1004]
     assert [r[1] for r in got if r[0] == 50] == [1, 2, 3, 4, 5]
@@ -86,6 +91,7 @@ def test_neighbours_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1])], VEC)
     assert [tuple(r)[:3] for r in neighbours.search(few, F.col("id") % 50 == 0).collect()] == [(0, 1, 1)]
     assert neighbours.search(few.limit(0), F.col("id") % 50 == 0).count() == 0
+    assert neighbours.search(few, F.col("id") == 7).count() == 0
 
 
 @pytest.mark.parametrize("block", [8 << 20, 1024])
@@ -97,6 +103,66 @@ def test_neighbours_of_a_handful(spark, monkeypatch, block):
     assert [r[:3] for r in got] == [r[:3] for r in sorted(neighbours.brute_force(rows, {i for i, _ in rows}))]
 
 
+def test_neighbours_with_one_id_other_lengths_and_huge_components(spark):
+    """Rows count each for themselves; lengths don't mix; no overflow; scores that differ in the 13th digit aren't ties."""
+    rng = np.random.default_rng(4)
+    far = [(100 + i, rng.normal(size=8).tolist()) for i in range(40)]
+    base = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
+    rows = far + [(0, base)] + [(7, [c + 0.01 * k for c in base]) for k in range(1, 7)] + [(0, [c + 0.1 for c in base])]
+    rows += [(50, [1e200, 1e200, 0.0]), (51, [1.0, 1.0, 0.0]), (52, [1.0, 1.0, 1.0]), (53, [1e-300, 0.0, 0.0])]
+    rows += [(150, [1.0, 0.0, 0.0, 0.0]), (160, [1.0, 1e-7, 0.0, 0.0]), (155, [1.0, 2e-7, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in neighbours.search(df, F.col("id") % 50 == 0).collect())
+    exact = sorted(neighbours.brute_force(rows, {0, 50, 100, 150}))
+    assert [r[:3] for r in got if r[0] != 100] == [r[:3] for r in exact if r[0] != 100]
+    assert [r[2] for r in got if r[0] == 0] == [7] * 10
+    assert [r[2] for r in got if r[0] == 50] == [51, 52, 53] and got[-1][3] == pytest.approx(1)
+    assert [r[2] for r in got if r[0] == 150] == [160, 155]
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_recall_and_share_of_candidates(dim):
+    """The plan that the fit takes, measured on other queries: recall on all kinds, and the share of rows that a query meets on clustered ones."""
+    rng = np.random.default_rng(dim)
+    centre = rng.normal(size=(200, dim))
+    shares = []
+    for n in (2000, 8000):
+        for kind in ("isotropic", "clustered"):
+            x = rng.normal(size=(n, dim)) if kind == "isotropic" else centre[rng.integers(0, 200, n)] + 0.4 * rng.normal(size=(n, dim))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+            def truth(q, x=x):
+                score = x[q] @ x.T
+                score[np.arange(len(q)), q] = -9
+                return np.argsort(-score, axis=1)[:, :5].ravel()
+
+            fitted, held = np.arange(96), np.arange(96, 176)
+            plan = neighbours.choose(x[fitted], x[truth(fitted)], np.repeat(np.arange(96), 5), x[rng.choice(n, 512)], neighbours.TABLES, neighbours.RECALL)
+            family = neighbours.Family(dim, neighbours.TABLES, plan.hashes, plan.width)
+            found = family.visits(x[held], x[truth(held)], np.repeat(np.arange(80), 5), np.arange(400)) <= plan.probes
+            q, r = np.divmod(np.arange(80 * n), n)
+            share = (family.visits(x[held], x, q, r) <= plan.probes).mean()
+            print(dim, n, kind, plan.hashes, plan.probes, "recall", found.mean(), "share", share)
+            assert found.mean() >= 0.9
+            if kind == "clustered":
+                shares.append(share)
+    assert max(shares) < 0.1
+
+
+def test_recall_of_the_query_on_its_table(spark):
+    """op4 on the small table against brute force."""
+    import pyarrow.parquet as pq
+
+    from docgraph.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = sorted(tuple(r) for r in queries.op4_neighbours(spark, sf).collect())
+    table = pq.read_table(f"{sf}/embeddings.parquet").select(["vec_id", "embedding"]).to_pylist()
+    rows = [(r["vec_id"], r["embedding"]) for r in table]
+    exact = neighbours.brute_force(rows, {i for i, _ in rows if i is not None and i % 50 == 0})
+    assert len(got) == len(exact) and same(got, exact) >= 0.9
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7)]
