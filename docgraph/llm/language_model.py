@@ -6,8 +6,10 @@ then send, summed again, what a word has as context (how many bigrams of count 1
 how many different words come before it. Nothing is sampled.
 
 Storage: three kinds of files in one folder of the shared checkpoint directory, each a sorted array
-of uint64 hashes with values beside it: bigrams with counts, bigrams that occur once, and words.
-Workers map shards into memory and look up a block's distinct hashes in sorted order.
+of uint64 hashes with values beside it: bigrams with counts, bigrams that occur once, and words. Values have as many bytes as
+the largest of their column in a shard needs, up to 64 bits. Every shard has all three files, also if it is empty, and a file says how long it is:
+a worker that doesn't find a file whole fails, instead of taking its words for unknown ones.
+Workers map shards into memory (the last `OPEN` of them) and look up a block's distinct hashes in sorted order.
 
 Probability of w after u, with discounts D1, D2, D3 from the counts of counts of bigrams:
     p(w|u) = max(c(u,w) - D(c), 0) / c(u) + (D1 N1(u) + D2 N2(u) + D3 N3(u)) / c(u) * p(w)
@@ -17,19 +19,21 @@ words by them, and the last term leaves mass for unknown words.
 
 The model's folder must be reachable by all machines as files (file:// of a shared mount).
 Nulls: a null text is empty and has the end token alone. Repeated rows are counted as often as
-they stand there. Empty training tables give the base 1 / (V + 1) everywhere. Further columns aren't read.
+they stand there. Empty training tables give the base 1 / (V + 1) everywhere. Further columns aren't read. A very long text is one block of its own.
+`Model.delete` removes the folder, with what aborted tasks have left in it; scores that are still to be computed need it.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -40,6 +44,9 @@ from .repeats import by_group, unblob
 START, END = K.U64(0x243F6A8885A308D3), K.U64(0x13198A2E03707344)
 SHARD_BYTES = 10 << 20
 FLUSH_BYTES = 16 << 20
+#: Files that a worker keeps mapped.
+OPEN = 4096
+KINDS = ("once", "pair", "word")
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,62 +81,71 @@ def _add_up(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np
     return keys[head], total, *(m[order][head] for m in more)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts with as many bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+
+
+def widen(raw: bytes, n: int) -> np.ndarray:
+    """n counts as int64, from bytes of narrow()."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}" if n else np.uint8).astype(np.int64)
+
+
 class Files:
-    """Arrays in the model's folder."""
+    """Arrays in the model's folder. A file: number of keys and columns, each column's width, then keys and columns."""
 
     def __init__(self, uri: str):
         parts = urlparse(uri)
         if parts.scheme not in ("", "file"):
             raise ValueError(f"{uri}: the model is mapped into memory, so spark.checkpoint.dir must be a file:// folder on a shared mount")
         self.path = parts.path
-        self.maps: dict[tuple[str, int], tuple[np.ndarray, ...]] = {}
+        self.maps: OrderedDict[tuple[str, int], tuple[np.ndarray, ...]] = OrderedDict()
 
     def save(self, kind: str, shard: int, keys: np.ndarray, *values: np.ndarray) -> None:
         """Written beside its place and renamed: a second attempt of a task replaces equal content."""
         os.makedirs(self.path, exist_ok=True)
         to = f"{self.path}/{kind}-{shard}"
         temp = f"{to}.{os.getpid()}.{os.urandom(4).hex()}"
+        columns = [narrow(v) for v in values]
         with open(temp, "wb") as f:
-            f.write(struct.pack("<q", len(keys)))
-            for x in (keys, *values):
+            f.write(struct.pack(f"<{2 + len(columns)}q", len(keys), len(columns), *(c.itemsize for c in columns)))
+            for x in (keys, *columns):
                 f.write(np.ascontiguousarray(x).tobytes())
+            f.flush()
+            os.fsync(f.fileno())
         os.replace(temp, to)
 
-    def load(self, kind: str, shard: int, dtypes: tuple[type, ...]) -> tuple[np.ndarray, ...]:
-        if (kind, shard) not in self.maps:
-            name, out, at = f"{self.path}/{kind}-{shard}", [], 8
-            if not os.path.exists(name):
-                self.maps[kind, shard] = tuple(np.zeros(0, d) for d in dtypes)
-            else:
-                raw = np.memmap(name, np.uint8, "r")
-                n = int(raw[:8].view(np.int64)[0])
-                for d in dtypes:
-                    size = n * np.dtype(d).itemsize
-                    out.append(raw[at : at + size].view(d) if n else np.zeros(0, d))
-                    at += size
-                self.maps[kind, shard] = tuple(out)
-        return self.maps[kind, shard]
-
-    def find(self, kind: str, shards: int, keys: np.ndarray, dtypes: tuple[type, ...]) -> list[np.ndarray]:
-        """The values beside sorted distinct keys; 0 where a key isn't there."""
-        out = [np.zeros(len(keys), d) for d in dtypes]
+    def load(self, kind: str, shard: int) -> tuple[np.ndarray, ...]:
+        if (kind, shard) in self.maps:
+            self.maps.move_to_end((kind, shard))
+            return self.maps[kind, shard]
+        name = f"{self.path}/{kind}-{shard}"
+        if not os.path.exists(name):
+            raise FileNotFoundError(f"{name}: a file of the language model is missing")
+        raw = np.memmap(name, np.uint8, "r")
+        n, k = (int(x) for x in raw[:16].view(np.int64))
+        widths = [8, *raw[16 : 16 + 8 * k].view(np.int64).tolist()]
+        if len(raw) != 16 + 8 * k + n * sum(widths):
+            raise OSError(f"{name}: a file of the language model isn't whole")
+        out, at = [], 16 + 8 * k
+        for width in widths:
+            out.append(raw[at : at + n * width].view(f"<u{width}"))
+            at += n * width
+        self.maps[kind, shard] = tuple(out)
+        if len(self.maps) > OPEN:
+            self.maps.popitem(last=False)
+        return tuple(out)
+
+    def find(self, kind: str, shards: int, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+        """The values beside sorted distinct keys, 0 where a key isn't there; without columns, whether a key is there."""
+        out = [np.zeros(len(keys), np.int64) for _ in range(max(1, columns))]
         for shard, part in by_group((keys % K.U64(shards)).astype(np.int64)):
-            have, *values = self.load(kind, shard, (np.uint64, *dtypes))
+            have, *values = self.load(kind, shard)
             if len(have):
                 at = np.minimum(np.searchsorted(have, keys[part]), len(have) - 1)
                 ok = have[at] == keys[part]
-                for o, v in zip(out, values, strict=True):
-                    o[part[ok]] = v[at[ok]]
-        return out
-
-
-    def has(self, kind: str, shards: int, keys: np.ndarray) -> np.ndarray:
-        """Which of sorted distinct keys are there."""
-        out = np.zeros(len(keys), bool)
-        for shard, part in by_group((keys % K.U64(shards)).astype(np.int64)):
-            (have,) = self.load(kind, shard, (np.uint64,))
-            if len(have):
-                out[part] = have[np.minimum(np.searchsorted(have, keys[part]), len(have) - 1)] == keys[part]
+                for o, v in zip(out, values or [np.ones(1, np.int64)], strict=True):
+                    o[part[ok]] = v[at[ok]] if columns else 1
         return out
 
 
@@ -154,6 +170,10 @@ class Model:
     def __init__(self, folder: str, shards: int, sums: dict[str, int]):
         self.folder, self.shards, self.sums = folder, shards, sums
 
+    def delete(self, spark: SparkSession) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def train(docs: DataFrame) -> Model:
     """Counts docs (column text); two stages, each of which writes its arrays."""
@@ -177,7 +197,7 @@ def train(docs: DataFrame) -> Model:
             one = n == 1
             for mask in (one, ~one):
                 k = keys[mask]
-                batch = _runs(k, shards, u[mask], w[mask], n[mask].astype(np.uint32))
+                batch = _runs(k, shards, u[mask], w[mask], narrow(n[mask]))
                 cols = [batch.column(0), batch.column(2), batch.column(3), batch.column(4) if mask is not one else pa.array([b""] * batch.num_rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["shard", "u", "w", "n"])
 
@@ -193,11 +213,11 @@ def train(docs: DataFrame) -> Model:
     def store(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         u, w = unblob(table.column("u"), np.uint64), unblob(table.column("w"), np.uint64)
-        n = np.concatenate([np.frombuffer(c, np.uint32) if c else np.ones(len(x) // 8, np.uint32) for c, x in zip(table.column("n").to_pylist(), table.column("u").to_pylist(), strict=True)]).astype(np.int64)
+        n = np.concatenate([widen(c, len(x) // 8) if c else np.ones(len(x) // 8, np.int64) for c, x in zip(table.column("n").to_pylist(), table.column("u").to_pylist(), strict=True)])
         keys, n, u, w = _add_up(pair_hash(u, w), n, u, w)
         one = n == 1
         Files(folder).save("once", shard, keys[one])
-        Files(folder).save("pair", shard, keys[~one], np.minimum(n[~one], 2**32 - 1).astype(np.uint32))
+        Files(folder).save("pair", shard, keys[~one], n[~one])
         kinds = np.bincount(np.minimum(n, 5), minlength=6)
         ctx, at = np.unique(u, return_inverse=True)
         by = [np.bincount(at, weights=m, minlength=len(ctx)).astype(np.int64) for m in (n == 1, n == 2, n > 2, n)]
@@ -212,8 +232,9 @@ def train(docs: DataFrame) -> Model:
             (0, ctx[once], None), (1, ctx[~once], np.stack(by, 1)[~once]), (2, word[alone], None), (3, word[~alone], np.stack((before, total), 1)[~alone]),
         ):
             for s, part in by_group((key % K.U64(shards)).astype(np.int64)):
-                rows.append((s, kind, key[part].tobytes(), b"" if vals is None else vals[part].astype(np.uint32).tobytes()))
+                rows.append((s, kind, key[part].tobytes(), b"" if vals is None else narrow(vals[part]).tobytes()))
         rows.append((0, 4, kinds.astype(np.int64).tobytes(), b""))
+        rows.append((shard, 5, b"", b""))
         s, kind, a, b = zip(*rows, strict=True)
         return pa.table([pa.array(s, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["shard", "kind", "keys", "vals"])
 
@@ -221,14 +242,19 @@ def train(docs: DataFrame) -> Model:
         shard = table.column("shard")[0].as_py()
         parts = [table.filter(pa.array(table.column("kind").to_numpy() == kind)) for kind in range(5)]
         keys = [unblob(p.column("keys"), np.uint64) for p in parts[:4]]
-        vals = [np.array([[1, 0, 0, 1]]), unblob(parts[1].column("vals"), np.uint32).reshape(-1, 4), np.array([[1, 1]]), unblob(parts[3].column("vals"), np.uint32).reshape(-1, 2)]
+
+        def counts(part: pa.Table, columns: int) -> np.ndarray:
+            got = [widen(v, len(k) // 8 * columns) for k, v in zip(part.column("keys").to_pylist(), part.column("vals").to_pylist(), strict=True)]
+            return np.concatenate(got).reshape(-1, columns) if got else np.zeros((0, columns), np.int64)
+
+        vals = [np.array([[1, 0, 0, 1]]), counts(parts[1], 4), np.array([[1, 1]]), counts(parts[3], 2)]
         own, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros((len(own), 6), np.int64)
         for k, (where, v) in enumerate(zip(np.split(at, np.cumsum([len(x) for x in keys])[:-1]), vals, strict=True)):
             for c in range(v.shape[1]):
                 add = np.bincount(where, weights=np.broadcast_to(v[:, c], len(where)), minlength=len(own))
                 sums[:, c + (0 if k < 2 else 4)] += add.astype(np.int64)
-        Files(folder).save("word", shard, own, *(sums[:, k].astype(np.uint32) for k in range(6)))
+        Files(folder).save("word", shard, own, *sums.T)
         kinds = np.zeros(6, np.int64)
         for x in parts[4].column("keys").to_pylist():
             kinds += np.frombuffer(x, np.int64)
@@ -240,6 +266,9 @@ def train(docs: DataFrame) -> Model:
 
     names = [f"pair_{k}" for k in range(1, 6)] + [f"word_{k}" for k in range(1, 6)] + ["tokens", "vocabulary", "before"]
     counted = docs.select("text").mapInArrow(count, "shard int, u binary, w binary, n binary")
+    # a row without bigrams for each shard, so that every shard writes its files
+    nothing = F.lit(b"")
+    counted = counted.unionAll(spark.range(shards).select(F.col("id").cast("int"), nothing, nothing, nothing))
     stored = counted.groupBy("shard").applyInArrow(store, "shard int, kind int, keys binary, vals binary")
     summed = stored.groupBy("shard").applyInArrow(words, ", ".join(f"{n} long" for n in names))
     sums = summed.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
@@ -261,15 +290,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             tok, first = tokens(buf, off)
             ctx = contexts(tok, first)
             both, back = np.unique(np.concatenate((tok, ctx)), return_inverse=True)
-            n1, n2, n3, c_ctx, before, count = files.find("word", shards, both, (np.uint32,) * 6)
+            n1, n2, n3, c_ctx, before, count = files.find("word", shards, both, 6)
             w, u = back[: len(tok)], back[len(tok) :]
             base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
             lower = np.maximum(before - e[np.minimum(before, 3)], 0) / total + rest / (v + 1)
             gamma = d[1] * n1 + d[2] * n2 + d[3] * n3
             pairs, pair = np.unique(pair_hash(ctx, tok), return_inverse=True)
-            (c,) = files.find("pair", shards, pairs, (np.uint32,))
+            (c,) = files.find("pair", shards, pairs, 1)
             rare = np.flatnonzero(c == 0)
-            c[rare] = files.has("once", shards, pairs[rare])
+            (c[rare],) = files.find("once", shards, pairs[rare], 0)
             c = c[pair].astype(np.float64)
             seen = c_ctx[u] > 0
             den = np.where(seen, c_ctx[u], 1)

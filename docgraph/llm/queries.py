@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, language_model, near_dedup, neighbours, packing, substring_dedup, suffix_dedup, token_counts, toxicity
-from .common import read
+from .common import checkpointed, read
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", language_model.fold("doc_id", 5) == 1)
     model = language_model.train(docs.where("NOT coalesce(held_out, false)"))
     found = language_model.score(docs, model)
-    return found.select("doc_id", (language_model.fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    # a row of numbers for each document; the model isn't needed any more
+    found = checkpointed(found.select("doc_id", (language_model.fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    model.delete(spark)
+    return found
 
 
 QUERIES = {

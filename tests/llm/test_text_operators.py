@@ -339,6 +339,41 @@ def test_language_model(spark, docs, empty):
     assert language_model.score(empty, model).count() == 0
 
 
+def test_missing_or_cut_model_files_are_errors(spark):
+    import os
+    from urllib.parse import urlparse
+
+    d = spark.createDataFrame([(1, "a b a b c")], DOC)
+    for harm in (os.remove, lambda f: os.truncate(f, os.path.getsize(f) - 1)):
+        model = language_model.train(d)
+        assert language_model.score(d, model).first().n_known == 6
+        files = [f"{urlparse(model.folder).path}/{f}" for f in os.listdir(urlparse(model.folder).path) if not f.startswith(".")]
+        assert len(files) == 3 * model.shards
+        for f in files:
+            harm(f)
+        with pytest.raises(Exception, match="file of the language model"):
+            language_model.score(d, model).collect()
+        model.delete(spark)
+        assert not os.path.exists(urlparse(model.folder).path)
+
+
+def test_counts_of_any_size():
+    for most in (0, 1, 255, 256, 2**32 - 1, 2**32, 2**40):
+        x = np.array([0, most, 1])
+        assert language_model.widen(language_model.narrow(x).tobytes(), 3).tolist() == x.tolist()
+
+
+def test_maps_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(language_model, "OPEN", 2)
+    files = language_model.Files(f"file://{tmp_path}")
+    for k in range(5):
+        files.save("pair", k, np.array([k, k + 5], np.uint64), np.array([2**33, k]))
+    keys = np.arange(15, dtype=np.uint64)
+    for _ in range(2):
+        (got,) = files.find("pair", 5, keys, 1)
+        assert got.tolist() == [2**33] * 5 + [0, 1, 2, 3, 4] + [0] * 5 and len(files.maps) == 2
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(1, "a b a b c"), (2, "b c"), (3, "a d e a b")]
     model = language_model.train(spark.createDataFrame(rows, DOC))
