@@ -7,15 +7,19 @@
 3. Buckets that still hold several components are compared completely. In buckets of up to `SMALL` members, the pairs of
    different components whose sizes allow the similarity and whose signatures agree in `SURE` of the slots
    become rows, each in the first bucket that holds it, and are verified too. Larger buckets are joined to
-   clusters of classes; a cluster's texts meet in blocks of at most `PART` members, where members of different components are
+   clusters of classes. A cluster's largest component, whose members need no comparison with each other, is dealt to parts of about `PART_BYTES`, and each
+   part meets the other members; these meet among themselves in pairs of parts. There, members of different components are
    compared by signature, then on full sets, and only links that join components become rows.
-   No group becomes a list of pairs.
+   No group becomes a list of pairs, and texts are copied as often as there are parts of others, not of all.
 
 With 32 bands of 4 slots, a pair at similarity 0.8 shares no bucket with probability 5e-8, and has fewer than `SURE` of its slots equal
-with probability 9e-9 (large sets, whose slots are as good as independent): it is missed with 6e-8 at most.
+with probability 9e-9 (large sets, whose slots are as good as independent): it is missed with 6e-8 at most. A class stands on equal
+numbers of shingles and two sums of 64-bit hashes of them: different sets share all three with a probability of 1e-19 among ten thousand million.
+Pairs with a bucket's smallest class are dealt out by both ends where it has many, before texts are joined to them.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing; a row with a null doc_id stands alone. Rows with one
-doc_id count as one document for links. Empty tables give empty results.
+doc_id count as one document for links. Empty tables give empty results; columns beyond doc_id and text aren't read. A very long text is held whole, with its set, in
+one block and in each group that verifies it; groups go by bytes, so it then has few others beside it.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ from .common import checkpointed, components, joined_components
 ROWS = 4
 #: Share of equal slots from which a pair is verified: six standard deviations below 0.8.
 SURE = 0.58
-PART = 1024
+#: Bytes of texts of one cluster that meet in a part.
+PART_BYTES = 4 << 20
 #: Largest bucket whose likely pairs become rows.
 SMALL = 32
 #: Texts that are compared with one text in one group.
@@ -101,8 +106,10 @@ def band_rows(classes: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union. texts: id, text."""
-    counted = pairs.groupBy("b").agg(F.count("*").alias("c"))
-    dealt = pairs.join(counted, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / SALT)).cast("int").alias("salt"))
+    # only what many pairs share is salted: at most one of SALT pairs has such a b
+    many = checkpointed(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")).where("salts > 1"))
+    many = F.broadcast(many) if many.count() <= 500_000 else many
+    dealt = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     needs = dealt.select(F.col("a").alias("id"), "b", "salt", F.lit(False).alias("is_b")).unionAll(dealt.select(F.col("b").alias("id"), "b", "salt", F.lit(True).alias("is_b")).distinct())
     rows = needs.join(texts, "id")
     size = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
@@ -187,11 +194,8 @@ def cluster_links(blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
         for _, buf, off in K.pieces(iter(table.select(["text"]).to_batches())):
             x, first = shingle_sets(buf, off, shingle)
             sets += np.split(x, first[1:-1])
-        # side 0: a whole cluster or a part with itself; 1 and 2: two parts
+        # side 0: a part with itself; 1 and 2: two parts
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        if not side.any():
-            names, count = np.unique(comp, return_counts=True)
-            left = left[comp[left] != names[count.argmax()]]
         a, b = [], []
         for i in left.tolist():
             near = _likely(i, right, comp, n, sig, percent)
@@ -223,21 +227,34 @@ def _blocks(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     about = classes.select("id", "n", "signature")
     cluster = components(large.where("id <> b").select(F.col("id").alias("a"), "b"))
     members = large.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), F.col("id") == F.col("node"), "left")
-    members = members.select("id", "component", F.coalesce("cluster", "id").alias("cluster"))
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    members = members.join(members.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("id"), parts).cast("int")})
-    blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({
-        "part": F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other")),
-        "side": F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2),
-    })
-    return blocks.join(about, "id").join(texts, "id").select("cluster", "part", "side", "id", "component", "n", "signature", "text")
+    members = members.select("id", "component", F.coalesce("cluster", "id").alias("cluster")).join(texts.select("id", F.octet_length("text").alias("size")), "id")
+    sizes = members.groupBy("cluster", "component").agg(F.sum("size").alias("size"))
+    top = sizes.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"))
+    parts = lambda size: F.greatest(F.lit(1), F.ceil(size / PART_BYTES)).cast("int")
+    # few rows a cluster, against all its members: salted by nothing, as only ids are moved and Spark splits skewed joins
+    placed = checkpointed(members.join(top, "cluster").select(
+        "id", "component", "cluster", (F.col("component") == F.col("top")["component"]).alias("first"),
+        parts(F.col("top")["size"]).alias("firsts"), parts(F.col("all") - F.col("top")["size"]).alias("others"),
+    ))
+    first, other = placed.where("first"), placed.where("NOT first")
+    mine = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    keep = ["cluster", "part", "side", "id", "component"]
+    # a part of the largest component with a part of the others, which stand beside each part of it
+    one = first.withColumn("x", mine("firsts")).withColumn("y", each("others")).where(F.col("others") > 0)
+    two = other.withColumn("y", mine("others")).withColumn("x", each("firsts"))
+    across = [df.withColumn("part", F.concat_ws("-", F.lit("f"), "x", "y")).withColumn("side", F.lit(side)).select(*keep) for df, side in ((one, 1), (two, 2))]
+    # the others among themselves
+    own = other.withColumn("x", mine("others")).withColumn("y", each("others"))
+    own = own.withColumn("part", F.concat_ws("-", F.lit("o"), F.least("x", "y"), F.greatest("x", "y"))).withColumn("side", F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)).select(*keep)
+    return across[0].unionAll(across[1]).unionAll(own).join(about, "id").join(texts, "id").select("cluster", "part", "side", "id", "component", "n", "signature", "text")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest linked doc_id, its own included)."""
     described = checkpointed(describe(docs, shingle))
     some = described.where("n > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("n", "doc_id").alias("n"), F.min_by("signature", "doc_id").alias("signature"))
+    classes = some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature"))
     classes = checkpointed(classes)
     bands = band_rows(classes)
     heads = bands.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1")
@@ -264,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not large.isEmpty():
         found = found.unionAll(cluster_links(_blocks(large, classes, texts), shingle, percent))
     named = joined_components(named, found)
-    member = some.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
+    member = some.select("doc_id", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "id"), ["k1", "k2", "n"]).select("doc_id", "id")
     member = member.join(named.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("found")).groupBy("doc_id").agg(F.min("found").alias("found"))
     out = described.select("doc_id", "n").join(member, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))

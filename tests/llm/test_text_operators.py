@@ -98,10 +98,11 @@ def test_substring_dedup_null_and_equal_ids(spark):
     assert sorted((r.doc_id or 99, r.n_removed) for r in got) == [(5, 0), (5, 0), (9, 13), (99, 13)]
 
 
-@pytest.mark.parametrize("sizes", [(32, 1024), (2, 5)])
+@pytest.mark.parametrize("sizes", [(32, 4 << 20, 256), (2, 1500, 3)])
 def test_near_dedup(spark, docs, empty, monkeypatch, sizes):
     monkeypatch.setattr(near_dedup, "SMALL", sizes[0])
-    monkeypatch.setattr(near_dedup, "PART", sizes[1])
+    monkeypatch.setattr(near_dedup, "PART_BYTES", sizes[1])
+    monkeypatch.setattr(near_dedup, "SALT", sizes[2])
     base = sentence(random.Random(8), 80).split()
     rng = random.Random(5)
     rows = corpus() + [(1000 + i, " ".join(rng.choice([w, w, w, w, w, w, w, w, w, f"e{i}"]) for w in base)) for i in range(40)]
@@ -111,6 +112,18 @@ def test_near_dedup(spark, docs, empty, monkeypatch, sizes):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_at_the_threshold(spark):
+    """Pairs with exactly 80 % are linked, those just under it aren't; also through a chain, and beside texts that look alike."""
+    words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    rows = []
+    for k in range(30):
+        base = words(k, 46)  # 45 shingles; an end of 5 other words changes 5 of them: 40 of 50 stay
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base[:-5] + words(100 + k, 5))), (10 * k + 2, " ".join(base[:-6] + words(200 + k, 6)))]
+    expected = sorted(r[:3] for r in near_dedup.brute_force(rows, 2))
+    assert {c for _, _, c in expected if c % 10 == 0} and any(d % 10 == 2 and c == d for d, _, c in expected)
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOC), shingle=2).collect()) == expected
+
+
 def test_signatures_drop_few_links():
     """A pair at similarity 0.8 is dropped by its signature less often than by banding."""
     sig = np.zeros((129, 128), np.uint32)
