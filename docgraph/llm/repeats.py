@@ -59,6 +59,18 @@ def by_group(key: np.ndarray, n_sorted: bool = False) -> Iterator[tuple[int, np.
         yield int(key[part[0]]), part
 
 
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (a, b): where each stands first, which one each place holds, and how often each stands."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    head = np.ones(len(x), bool)
+    head[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(head) - 1
+    at = np.flatnonzero(head)
+    return order[at], back, np.diff(np.append(at, len(x)))
+
+
 def blobs(x: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in x], pa.binary())
 

@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, vectorised over buckets, and permuted common prefixes.
+"""Suffix arrays by induced sorting, vectorised over buckets, and permuted common prefixes, vectorised over irreducible places.
 
 Suffixes are classified as S (smaller than the next) or L; the leftmost S of each run starts a
 substring. Sorting these substrings by an induced pass names them; equal names are resolved on the
@@ -131,39 +131,69 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """For each position, the length (at most cap) of the prefix that its suffix shares with the one sorted before it."""
+def _match(text: np.ndarray, a: int, b: int) -> int:
+    """How many bytes from a and from b are equal, in blocks that double."""
+    got, step = 0, 256
+    while True:
+        x, y = text[a + got : a + got + step], text[b + got : b + got + step]
+        n = min(len(x), len(y))
+        other = np.flatnonzero(x[:n] != y[:n])
+        if len(other):
+            return got + int(other[0])
+        got, step = got + n, step * 2
+        if n < step // 2:
+            return got
+
+
+def common_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of places, how many bytes from there are equal: eight at a time, for all pairs at once while they are many."""
+    n = len(text)
+    words = np.ndarray((n + 1,), "<u8", np.concatenate((text, np.zeros(8, np.uint8))), strides=(1,))
+    out = np.zeros(len(a), np.int64)
+    most = n - np.maximum(a, b)
+    live = np.flatnonzero(most > 0)
+    while len(live) > 64:
+        differ = words[a[live] + out[live]] ^ words[b[live] + out[live]]
+        low = (differ & (~differ + np.uint64(1))).astype(np.float64)
+        out[live] += np.where(differ == 0, 8, np.log2(np.maximum(low, 1)).astype(np.int64) >> 3)
+        live = live[(differ == 0) & (out[live] < most[live])]
+    for i in live.tolist():
+        out[i] += _match(text, int(a[i] + out[i]), int(b[i] + out[i]))
+    return np.minimum(out, most)
+
+
+def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int | None = None) -> np.ndarray:
+    """For each position, the length (at most cap) of the prefix that its suffix shares with the one sorted before it.
+
+    Where the bytes before both suffixes are equal, the length is one less than that of the position before. Only the other places are compared, byte
+    for byte; together their lengths are at most 2 n log2 n.
+    """
     n = len(text)
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    pre = K.prefix(K.BYTE[text], K.BASE)
-    at = np.flatnonzero(before >= 0)
-    phi, step = before[at], 1 << (cap.bit_length() - 1)
-    got = np.zeros(len(at), np.int64)
-    while step:
-        ok = np.flatnonzero((got + step <= cap) & (at + got + step <= n) & (phi + got + step <= n))
-        a, b = at[ok] + got[ok], phi[ok] + got[ok]
-        same = K.ranges(pre, a, a + step, K.BASE) == K.ranges(pre, b, b + step, K.BASE)
-        got[ok[same]] += step
-        step >>= 1
-    out[at] = got
-    return out
+    phi = np.full(n, -1, np.int64)
+    phi[sa[1:]] = sa[:-1]
+    own = np.ones(n, bool)
+    own[1:] = (phi[1:] <= 0) | (text[:-1] != text[phi[1:] - 1])
+    at = np.flatnonzero(own & (phi >= 0))
+    out[at] = common_bytes(text, at, phi[at])
+    base = np.maximum.accumulate(np.where(own, np.arange(n), 0))
+    out = out[base] - (np.arange(n) - base)
+    return out if cap is None else np.minimum(out, cap)
 
 
 def repeats(text: np.ndarray, sa: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
     """For each position that starts marks, whether its n bytes stand at another marked position too.
 
-    These are the positions whose permuted common prefix with a neighbour reaches n. A suffix that shares n bytes with a marked one
-    sorts beside it, so neighbours among the marked suffixes are enough; whether n bytes are shared is read
-    off prefix sums, without the lengths below or beyond n. All n bytes of a marked position must lie in the text.
+    Two marked suffixes share what the least common prefix between them in the array says; the most a suffix shares with any is with a marked one
+    beside it. All n bytes of a marked position must lie in the text.
     """
-    sa = sa[starts[sa]].astype(np.int64)
-    prints = K.ranges(K.prefix(K.BYTE[text], K.BASE), sa, sa + n, K.BASE)
-    long = np.flatnonzero(prints[1:] == prints[:-1])
     out = np.zeros(len(text), bool)
-    out[sa[long]] = True
-    out[sa[long + 1]] = True
+    at = np.flatnonzero(starts[sa])
+    if len(at) > 1:
+        shared = permuted_common_prefixes(text, sa)[sa]
+        long = np.flatnonzero(np.minimum.reduceat(shared[: at[-1] + 1], at[:-1] + 1) >= n)
+        out[sa[at[long]]] = True
+        out[sa[at[long + 1]]] = True
     return out

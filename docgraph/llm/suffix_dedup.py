@@ -2,15 +2,16 @@
 
 Windows of 200 bytes are dealt out by seed (see `repeats`): a maximal run of windows with one shared seed
 is a *context*. Each batch sends every distinct context once to the shard of its seed, with
-whether it occurs there twice. A shard keeps one copy of equal contexts, sorts the suffixes of what is
-left by induced sorting and reads off which windows share 200 bytes with a suffix beside them: from one fingerprint
-of 200 bytes each, in place of the permuted common prefixes (`suffix.permuted_common_prefixes`, which only a test calls); all windows of a context that occurs twice are repeats without
-sorting. Equal windows have equal seeds, so every repeat lies in one shard, also within one
+whether it occurs there twice. A shard keeps one copy of equal contexts (by two 64-bit fingerprints), sorts the suffixes of what is
+left by induced sorting, computes the permuted common prefixes byte by byte, and reads off which windows share 200 bytes with another; all windows of a context
+that occurs twice are repeats without sorting. Equal windows have equal seeds, so every repeat lies in one shard, also within one
 document. Of a hot seed (more than `repeats.HOT_RUNS` runs, and more than a millionth of all), such as one in a passage that a third of all
-documents hold, each window is a context of its own and goes by its 64-bit fingerprint alone, without induced sorting, so no shard has to hold all surroundings of one passage. The answer to a batch is, for each context, the runs of repeated windows.
+documents hold, each window is a context of its own and goes by its two fingerprints alone, without induced sorting, so no shard has to hold all surroundings of one passage:
+128 bits, which two different windows share with a probability of 2e-11 among 1e14. The answer to a batch is, for each context, the runs of repeated windows.
 
 Nulls: a null text is empty. Repeated rows count as occurrences of each other. Texts of under 200 bytes
-stay whole. Empty tables give empty results.
+stay whole. Empty tables give empty results; columns beyond doc_id and text aren't read. A very long text is one block of one batch; its contexts
+are dealt out by seed like those of other texts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .suffix import repeats, suffix_array
 
 WINDOW = 200
 GRAM = 32
+#: Another base for second fingerprints.
+OTHER = 0xA0761D6478BD642F & ~7 | 5
 #: Bytes of distinct contexts whose suffixes are sorted at once.
 SORT_BYTES = 2 << 20
 
@@ -58,7 +61,7 @@ def _runs(seed: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(buf: np.ndarray, off: np.ndarray, keys: np.ndarray, hot: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
-    """Starts, ends (in windows), seeds, fingerprints of the contexts of a block whose seeds are among the keys, and whether the seed is hot."""
+    """Starts, ends (in windows), seeds, two fingerprints of the contexts of a block whose seeds are among the keys, and whether the seed is hot."""
     seed, ok = _windows(buf, off, n, k)
     a, b = _runs(seed, ok)
     mine = R.within(seed[a], keys)
@@ -70,8 +73,9 @@ def _contexts(buf: np.ndarray, off: np.ndarray, keys: np.ndarray, hot: np.ndarra
         single = np.repeat(is_hot, size)
         a, b = np.repeat(a, size) + step, np.where(single, np.repeat(a, size) + step + 1, np.repeat(b, size))
         is_hot = single
-    prints = K.ranges(K.prefix(K.BYTE[buf], K.BASE), a, b + n - 1, K.BASE) if len(a) else np.zeros(0, np.uint64)
-    return a, b, seed[a], prints, is_hot
+    none = np.zeros(0, np.uint64)
+    prints, checks = (K.ranges(K.prefix(K.BYTE[buf], base), a, b + n - 1, base) if len(a) else none for base in (K.BASE, OTHER))
+    return a, b, seed[a], prints, checks, is_hot
 
 
 def _gather(buf: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -117,30 +121,31 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         batch = 0
         for rows, buf, off in R.table_blocks(docs):
             batch = rows.column(rows.schema.get_field_index("batch"))[0].as_py()
-            a, b, seed, prints, is_hot = _contexts(buf, off, keys, hot.value, window, gram)
-            own, first, count = np.unique(prints, return_index=True, return_counts=True)
+            a, b, seed, prints, checks, is_hot = _contexts(buf, off, keys, hot.value, window, gram)
+            first, _, count = R.distinct(prints, checks)
             size = np.where(is_hot[first], 0, b[first] - a[first] + window - 1)
-            parts.append((np.where(is_hot, prints, seed)[first], own, count, size, _gather(buf, a[first], size)))
+            parts.append((np.where(is_hot, prints, seed)[first], prints[first], checks[first], count, size, _gather(buf, a[first], size)))
         got = []
         if parts:
-            seed, prints, count, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-            own, first, back = np.unique(prints, return_index=True, return_inverse=True)
-            twice = np.bincount(back, weights=count, minlength=len(own)) > 1
+            seed, prints, checks, count, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            first, back, _ = R.distinct(prints, checks)
+            twice = np.bincount(back, weights=count, minlength=len(first)) > 1
             begin = np.cumsum(size) - size
             for shard, part in R.by_group(seed[first] % K.U64(n_batches)):
                 at = first[part]
-                got.append((shard, batch, own[part].tobytes(), seed[at].tobytes(), twice[part].tobytes(), size[at].astype(np.int32).tobytes(), _gather(text, begin[at], size[at]).tobytes()))
-        shard, source, *rest = zip(*got, strict=True) if got else [()] * 7
-        return pa.table([pa.array(shard, pa.int32()), pa.array(source, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], names=["shard", "batch", "prints", "seeds", "twice", "sizes", "text"])
+                got.append((shard, batch, prints[at].tobytes(), checks[at].tobytes(), seed[at].tobytes(), twice[part].tobytes(), size[at].astype(np.int32).tobytes(), _gather(text, begin[at], size[at]).tobytes()))
+        shard, source, *rest = zip(*got, strict=True) if got else [()] * 8
+        return pa.table([pa.array(shard, pa.int32()), pa.array(source, pa.int32()), *(pa.array(x, pa.binary()) for x in rest)], names=["shard", "batch", "prints", "checks", "seeds", "twice", "sizes", "text"])
 
-    sent = based.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, "shard int, batch int, prints binary, seeds binary, twice binary, sizes binary, text binary")
+    sent = based.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, "shard int, batch int, prints binary, checks binary, seeds binary, twice binary, sizes binary, text binary")
 
     def sort(table: pa.Table) -> pa.Table:
-        prints, twice = R.unblob(table.column("prints"), np.uint64), R.unblob(table.column("twice"), np.bool_)
+        prints, checks, twice = R.unblob(table.column("prints"), np.uint64), R.unblob(table.column("checks"), np.uint64), R.unblob(table.column("twice"), np.bool_)
         size, text = R.unblob(table.column("sizes"), np.int32).astype(np.int64), R.unblob(table.column("text"), np.uint8)
         source = np.repeat(table.column("batch").to_numpy(), R.lengths(table.column("prints"), np.uint64))
         begin = np.cumsum(size) - size
-        own, first, back, count = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+        first, back, count = R.distinct(prints, checks)
+        own = prints[first]
         whole = (count > 1) | (np.bincount(back, weights=twice, minlength=len(own)) > 0)
         start = np.cumsum(size[first]) - size[first]
         # a seed with one context, all of whose windows are repeats already, has nothing to sort
@@ -185,7 +190,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         x, y = (R.unblob(mine.column(c), np.int32)[order].astype(np.int64) for c in ("first", "end"))
         counts, removed, kept = [], [], []
         for _, buf, off in R.table_blocks(docs):
-            a, _, _, own, _ = _contexts(buf, off, keys, hot.value, window, gram)
+            a, _, _, own, _, _ = _contexts(buf, off, keys, hot.value, window, gram)
             lo, hi = np.searchsorted(prints, own), np.searchsorted(prints, own, "right")
             k = hi - lo
             runs = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))

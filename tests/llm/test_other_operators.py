@@ -199,6 +199,29 @@ def test_suffix_array(letters):
             assert plcp[b] == n
 
 
+@pytest.mark.parametrize("kind", ["random", "copies", "one letter", "few differences"])
+def test_common_prefixes_and_repeats(kind):
+    """Against plain comparison; long common prefixes too."""
+    rng = random.Random(11)
+    for _ in range(8):
+        t = bytes(rng.choice(b"ab") for _ in range(400))
+        t = {"random": t, "copies": t[:150] * 3 + t, "one letter": b"a" * 700, "few differences": (b"a" * 99 + b"b") * 5 + t}[kind]
+        text = np.frombuffer(t, np.uint8)
+        sa = suffix.suffix_array(text)
+        plcp = suffix.permuted_common_prefixes(text, sa)
+        for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+            n = 0
+            while t[a + n : a + n + 1] == t[b + n : b + n + 1] != b"":
+                n += 1
+            assert plcp[b] == n
+        starts = np.array([i + 20 <= len(t) and i % 3 > 0 for i in range(len(t))])
+        seen = {}
+        for i in np.flatnonzero(starts).tolist():
+            seen.setdefault(t[i : i + 20], []).append(i)
+        want = {i for v in seen.values() if len(v) > 1 for i in v}
+        assert set(np.flatnonzero(suffix.repeats(text, sa, 20, starts)).tolist()) == want
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(5)
     errors = []
