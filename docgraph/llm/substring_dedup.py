@@ -1,17 +1,21 @@
 """Removal of repeated passages by seeds and extension.
 
-Seeds are winnowed anchors: of the 5-word anchors in each 13-word window, the one with the least
-hash. Documents meet on seeds (see `repeats`); a shared seed is extended both ways to all windows
-around it, and a window's fingerprint finds the first document that holds it. Runs of removed
-words are the maximal repeats over the length threshold. Of a passage's occurrences, those in the
-document with the smallest doc_id stay.
+Seeds are winnowed anchors: of the 5-word anchors in each 13-word window, the (leftmost) one with the least
+hash. A maximal run of windows with one anchor is a *context*: the anchor and up to eight words on either side. Documents meet on
+anchors that occur elsewhere too (see `repeats`): each batch of documents sends a context once, with its smallest doc_id there and its words, to the bucket of its
+anchor. There, contexts that share the anchor are extended word by word to the left and to the right:
+contexts are numbered so that two have one number as long as they agree, first over the anchor's own words, then for each
+length of extension. Two windows are equal if they agree as far as the window reaches on either side, and the smallest doc_id of equal
+windows keeps them. Runs of removed words are the maximal repeats over the length threshold.
 
-No pairs are made: each batch of documents sends a window once, with its smallest doc_id there, and
-the answer is sent only to the batch that holds the first document; every other document removes it.
-Fingerprints have 64 bits.
+No pairs are made, and the answer (which windows of a context stay) goes only to the batch that holds the first document; every other
+document removes them. Words are compared by 64-bit hash, one word at a time, so two windows pass for equal only if all 13 hashes agree. Of a hot anchor (more than
+`repeats.HOT_RUNS` runs, and more than a millionth of all), such as one in a passage of a third of all documents, every window is a context of its
+own and goes by two 64-bit fingerprints to a bucket of its own, so no bucket holds all surroundings of one passage.
 
 Nulls: a null text has no words; a null doc_id counts as larger than all others. Rows with equal doc_ids
-keep what they share only with each other. Empty tables give empty results.
+keep what they share only with each other. Empty tables give empty results. Columns beyond doc_id, text and those named in `keep` aren't read. A very
+long text is one block of one batch; its contexts are dealt out by anchor like those of other texts.
 """
 
 from __future__ import annotations
@@ -28,23 +32,25 @@ from .common import LAST_ID
 WINDOW = 13
 ANCHOR = 5
 WORD = ~K.SPACE
+#: Another base for second fingerprints.
+OTHER = 0xA0761D6478BD642F & ~7 | 5
 
 
 def _windows(buf: np.ndarray, off: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
-    """Word starts and ends, first words, word hashes, window seeds and whether a window lies in one text."""
+    """Word starts and ends, first words, word hashes, window seeds, whether a window lies in one text, and anchors."""
     start, end, first = K.words(buf, off, WORD)
     h = K.word_hashes(buf, start, end)
     last = np.repeat(first[1:], np.diff(first))
     at = np.arange(len(h))
     ok = at + n <= last
-    seed = np.zeros(len(h), np.uint64)
+    seed, grams = np.zeros(len(h), np.uint64), np.zeros(0, np.uint64)
     if len(h) >= n:
         # an anchor across two texts is never in a window of one text
         pre = K.prefix(h, K.WORD_BASE)
         g = np.arange(len(h) - k + 1)
         grams = K.ranges(pre, g, g + k, K.WORD_BASE)
         seed[: len(h) - n + 1] = K.sliding(np.minimum, grams, n - k + 1)
-    return start, end, first, h, seed, ok
+    return start, end, first, h, seed, ok, grams
 
 
 def _runs(seed: np.ndarray, ok: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -54,90 +60,185 @@ def _runs(seed: np.ndarray, ok: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(head)
 
 
+class Contexts:
+    """The contexts of a block whose seeds are among the keys: first window, number of windows, anchor (all in words), seed, fingerprints, whether the seed is hot."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, keys: np.ndarray, hot: np.ndarray, n: int, k: int):
+        self.start, self.end, self.first, self.words, seed, ok, grams = _windows(buf, off, n, k)
+        at = np.flatnonzero(ok & R.within(seed, keys))
+        # the leftmost place of each window's anchor
+        own, which = np.unique(seed[at], return_inverse=True)
+        place = np.flatnonzero(R.within(grams, own)) if len(own) else np.zeros(0, np.int64)
+        n_places = len(grams) + 1
+        order = np.sort(np.searchsorted(own, grams[place]) * n_places + place)
+        anchor = order[np.searchsorted(order, which * n_places + at)] % n_places if len(at) else at
+        is_hot = R.within(seed[at], hot)
+        head = np.ones(len(at), bool)
+        head[1:] = (np.diff(at) != 1) | (np.diff(anchor) != 0) | is_hot[1:]
+        c = np.flatnonzero(head)
+        self.a, self.n_windows, self.anchor, self.seed, self.hot = at[c], np.diff(np.append(c, len(at))), anchor[c], seed[at][c], is_hot[c]
+        self.size = self.n_windows + n - 1
+        none = np.zeros(0, np.uint64)
+        self.prints, self.checks = (K.mix(K.ranges(K.prefix(self.words, base), self.a, self.a + self.size, base) + (self.anchor - self.a).astype(np.uint64)) if len(c) else none for base in (K.WORD_BASE, OTHER))
+        self.owner = np.searchsorted(self.first, self.a, "right") - 1
+
+
+def _least(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each place has the least doc of its key."""
+    order = np.lexsort((doc, key))
+    head = np.ones(len(key), bool)
+    head[1:] = key[order][1:] != key[order][:-1]
+    number = np.cumsum(head) - 1
+    out = np.empty(len(key), bool)
+    out[order] = doc[order] == doc[order][head][number] if len(key) else head
+    return out
+
+
+def first_windows(words: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, group: np.ndarray, doc: np.ndarray, n: int, k: int) -> np.ndarray:
+    """For each context, bit i: no smaller doc has its i-th window. words: of all contexts, as small numbers; left: words before the anchor; group: anchors' numbers."""
+    most = int(words.max()) + 1 if len(words) else 1
+
+    def extended(number: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Numbers after one more word; -1 for contexts that don't reach so far."""
+        out = np.full(len(number), -1, np.int64)
+        ok = np.flatnonzero(reach & (number >= 0))
+        _, out[ok] = np.unique(number[ok] * most + words[at[ok]], return_inverse=True)
+        return out
+
+    number, anchor = group.astype(np.int64), begin + left
+    for j in range(k):
+        number = extended(number, anchor + j, np.ones(len(size), bool))
+    right = size - left - k
+    to_left, to_right = [number], [number]
+    for j in range(1, n - k + 1):
+        to_left.append(extended(to_left[-1], anchor - j, left >= j))
+        to_right.append(extended(to_right[-1], anchor + k + j - 1, right >= j))
+    bits = np.zeros(len(size), np.int64)
+    for j in range(n - k + 1):
+        x, y = to_left[j], to_right[n - k - j]
+        at = np.flatnonzero((x >= 0) & (y >= 0))
+        mine = at[_least(x[at] * (len(size) + 1) + y[at], doc[at])]
+        bits[mine] |= np.int64(1) << (left[mine] - j)
+    return bits
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: list[str] | None = None, spacing: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, removed (maximal runs of removed words as [first, end)), kept (the words
     that stay, joined by single spaces), and rest (a struct of the columns named in keep). spacing: a text that loses nothing
     keeps its own white space."""
+    if not 0 <= window - anchor < 32:
+        raise ValueError("a window holds its anchor and at most 31 words more")
     based, n = R.in_batches(docs, keep)
 
     def seeds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        _, _, first, _, seed, ok = _windows(buf, off, window, anchor)
+        _, _, first, _, seed, ok, _ = _windows(buf, off, window, anchor)
         owner = np.repeat(np.arange(len(off) - 1), np.diff(first))
         at = _runs(seed, ok, owner)
         # within one text a seed counts once: what repeats there alone stays
         pair = np.unique(np.stack((owner[at].astype(np.uint64), seed[at])), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
         return pair[1].copy(), pair[0].astype(np.int64), np.zeros(pair.shape[1], bool)
 
-    shared, _ = R.shared_seeds(based, n, seeds)
-
-    def candidates(buf: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
-        start, end, first, h, seed, ok = _windows(buf, off, window, anchor)
-        at = np.flatnonzero(ok & R.within(seed, keys))
-        fingerprints = np.zeros(0, np.uint64)
-        if len(at):
-            fingerprints = K.ranges(K.prefix(h, K.WORD_BASE), at, at + window, K.WORD_BASE)
-        return start, end, first, at, fingerprints
+    shared, hot_seeds = R.shared_seeds(based, n, seeds, with_hot=True)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_seeds)
 
     def ids(rows: pa.RecordBatch) -> np.ndarray:
         return rows.column(rows.schema.get_field_index("doc_id")).fill_null(LAST_ID).to_numpy()
 
+    def first_in_batch(prints: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the distinct prints, each with its smallest owner; the prints are in rising order."""
+        order = np.lexsort((owners, prints))
+        head = np.ones(len(order), bool)
+        head[1:] = prints[order][1:] != prints[order][:-1]
+        return order[head], prints[order][head]
+
+    names = ["prints", "checks", "seeds", "ids", "lefts", "sizes", "dictionary", "codes"]
+
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
-        keys, prints, owners, batch = R.unblob(told.column("keys"), np.uint64), [], [], 0
+        keys, parts, texts, batch = R.unblob(told.column("keys"), np.uint64), [], [], 0
         for rows, buf, off in R.table_blocks(docs):
             batch = rows.column(rows.schema.get_field_index("batch"))[0].as_py()
-            _, _, first, at, fingerprints = candidates(buf, off, keys)
-            prints.append(fingerprints)
-            owners.append(ids(rows)[np.searchsorted(first, at, "right") - 1] if len(at) else np.zeros(0, np.int64))
+            c = Contexts(buf, off, keys, hot.value, window, anchor)
+            owner = ids(rows)[c.owner]
+            at, _ = first_in_batch(c.prints, owner)
+            size = np.where(c.hot[at], 0, c.size[at])
+            total = np.cumsum(size)
+            texts.append(c.words[np.repeat(c.a[at] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)])
+            bucket = np.where(c.hot, c.prints, c.seed)[at] % K.U64(n)
+            parts.append((c.prints[at], c.checks[at], c.seed[at], owner[at], (c.anchor - c.a)[at], size, bucket.astype(np.int64)))
         got = []
-        if prints:
-            p, d = np.concatenate(prints), np.concatenate(owners)
-            order = np.lexsort((d, p))
-            p, d = p[order], d[order]
-            head = np.concatenate(([True], p[1:] != p[:-1])) if len(p) else np.zeros(0, bool)
-            p, d = p[head], d[head]
-            got = [(bucket, batch, p[part].tobytes(), d[part].tobytes()) for bucket, part in R.by_group(p % K.U64(n))]
-        bucket, source, a, b = zip(*got, strict=True) if got else ((), (), (), ())
-        return pa.table([pa.array(bucket, pa.int32()), pa.array(source, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "batch", "keys", "ids"])
-
-    sent = based.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, "bucket int, batch int, keys binary, ids binary")
-
-    def first_of(table: pa.Table) -> pa.Table:
-        p, d = R.unblob(table.column("keys"), np.uint64), R.unblob(table.column("ids"), np.int64)
-        source = np.repeat(table.column("batch").to_numpy(), R.lengths(table.column("keys"), np.uint64))
-        order = np.lexsort((d, p))
-        p, d, source = p[order], d[order], source[order]
-        head = np.concatenate(([True], p[1:] != p[:-1])) if len(p) else np.zeros(0, bool)
-        # rows of one doc_id may lie in one batch only (batch is a hash of doc_id), so the first has one batch
-        got = [(b, 1, p[head][part].tobytes()) for b, part in R.by_group(source[head])]
-        batch, kind, keys = zip(*got, strict=True) if got else ((), (), ())
-        return pa.table([pa.array(batch, pa.int32()), pa.array(kind, pa.int32()), pa.array(keys, pa.binary())], names=["batch", "kind", "keys"])
-
-    firsts = sent.groupBy("bucket").applyInArrow(first_of, "batch int, kind int, keys binary")
+        if parts:
+            prints, checks, seed, owner, left, size, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+            words = np.concatenate(texts)
+            begin = np.cumsum(size) - size
+            at, _ = first_in_batch(prints, owner)
+            for b, part in R.by_group(bucket[at]):
+                part = at[part]
+                k = size[part]
+                own, codes = np.unique(words[np.repeat(begin[part] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))], return_inverse=True)
+                codes = codes.astype(np.min_scalar_type(max(0, len(own) - 1)))
+                got.append((b, batch, *(x.tobytes() for x in (prints[part], checks[part], seed[part], owner[part], left[part].astype(np.uint16), k.astype(np.uint16), own, codes))))
+        cols = list(zip(*got, strict=True)) if got else [()] * (2 + len(names))
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "batch", *names])
+
+    sent = based.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, "bucket int, batch int, " + ", ".join(f"{c} binary" for c in names))
+
+    def extend(table: pa.Table) -> pa.Table:
+        prints, checks, seed = (R.unblob(table.column(c), np.uint64) for c in ("prints", "checks", "seeds"))
+        doc, left, size = (R.unblob(table.column(c), t).astype(np.int64) for c, t in (("ids", np.int64), ("lefts", np.uint16), ("sizes", np.uint16)))
+        source = np.repeat(table.column("batch").to_numpy(), R.lengths(table.column("prints"), np.uint64))
+        # words as small numbers
+        dictionaries = [np.frombuffer(x, np.uint64) for x in table.column("dictionary").to_pylist()]
+        _, number = np.unique(np.concatenate(dictionaries), return_inverse=True)
+        sizes = [int(np.frombuffer(x, np.uint16).astype(np.int64).sum()) for x in table.column("sizes").to_pylist()]
+        words, at = [], 0
+        for raw, own, count in zip(table.column("codes").to_pylist(), dictionaries, sizes, strict=True):
+            if count:
+                words.append(number[at : at + len(own)][np.frombuffer(raw, f"<u{len(raw) // count}")])
+            at += len(own)
+        words = np.concatenate(words) if words else np.zeros(0, np.int64)
+        bits = np.zeros(len(prints), np.int64)
+        cold, bare = np.flatnonzero(size > 0), np.flatnonzero(size == 0)
+        if len(cold):
+            _, group = np.unique(seed[cold], return_inverse=True)
+            bits[cold] = first_windows(words, (np.cumsum(size) - size)[cold], size[cold], left[cold], group, doc[cold], window, anchor)
+        if len(bare):
+            _, same, _ = R.distinct(prints[bare], checks[bare])
+            bits[bare] = _least(same, doc[bare])
+        at = np.flatnonzero(bits)
+        got = [(b, 1, prints[at[part]].tobytes(), bits[at[part]].astype(np.uint32).tobytes()) for b, part in R.by_group(source[at])]
+        batch, kind, keys, stay = zip(*got, strict=True) if got else ((), (), (), ())
+        return pa.table([pa.array(batch, pa.int32()), pa.array(kind, pa.int32()), pa.array(keys, pa.binary()), pa.array(stay, pa.binary())], names=["batch", "kind", "keys", "stay"])
+
+    firsts = sent.groupBy("bucket").applyInArrow(extend, "batch int, kind int, keys binary, stay binary")
 
     schema = "doc_id long, n_words long, removed array<array<long>>, kept string" + (f", rest {based.schema['rest'].dataType.simpleString()}" if keep else "")
 
     def finish(docs: pa.Table, told: pa.Table) -> pa.Table:
         kind = told.column("kind").to_numpy()
         keys = R.unblob(told.column("keys").filter(pa.array(kind == 0)), np.uint64)
-        here = np.sort(R.unblob(told.column("keys").filter(pa.array(kind == 1)), np.uint64))
-        # of the windows first seen in this batch, which document is the first
-        blocks, found, p, d = list(R.table_blocks(docs)), [], [], []
-        for rows, buf, off in blocks:
-            start, end, first, at, fingerprints = candidates(buf, off, keys)
-            found.append((start, end, first, at))
-            p.append(fingerprints)
-            d.append(ids(rows)[np.searchsorted(first, at, "right") - 1] if len(at) else np.zeros(0, np.int64))
-        p_all, d_all = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((p, np.uint64), (d, np.int64)))
-        order = np.lexsort((d_all, p_all))
-        p_all, d_all = p_all[order], d_all[order]
-        head = np.concatenate(([True], p_all[1:] != p_all[:-1])) if len(p_all) else np.zeros(0, bool)
-        least_p, least_d = p_all[head], d_all[head]
+        mine = told.filter(pa.array(kind == 1))
+        here, stay = R.unblob(mine.column("keys"), np.uint64), R.unblob(mine.column("stay"), np.uint32)
+        order = np.argsort(here, kind="stable")
+        here, stay = here[order], stay[order]
+        # the smallest document of each context in this batch
+        blocks = list(R.table_blocks(docs))
+        found = [Contexts(buf, off, keys, hot.value, window, anchor) for _, buf, off in blocks]
+        owners = [ids(rows)[c.owner] for (rows, _, _), c in zip(blocks, found, strict=True)]
+        prints, owner = (np.concatenate(x) if x else np.zeros(0, t) for x, t in (([c.prints for c in found], np.uint64), (owners, np.int64)))
+        at, least_p = first_in_batch(prints, owner)
+        least_d = owner[at]
         counts, removed, kept = [], [], []
-        for (_, buf, off), (start, end, first, at), prints, owner in zip(blocks, found, p, d, strict=True):
-            stays = R.within(prints, here)
-            if len(at):
-                stays &= least_d[np.searchsorted(least_p, prints)] == owner
-            drop = at[~stays]
+        for (_, buf, off), c, owner in zip(blocks, found, owners, strict=True):
+            start, end, first = c.start, c.end, c.first
+            bits = np.zeros(len(c.prints), np.int64)
+            if len(here) and len(c.prints):
+                at = np.minimum(np.searchsorted(here, c.prints), len(here) - 1)
+                bits = np.where(here[at] == c.prints, stay[at], 0).astype(np.int64)
+            if len(c.prints):
+                bits[least_d[np.searchsorted(least_p, c.prints)] != owner] = 0
+            k = c.n_windows
+            step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            drop = (np.repeat(c.a, k) + step)[np.repeat(bits, k) >> step & 1 == 0]
             mark = np.zeros(len(start) + 1, np.int64)
             np.add.at(mark, drop, 1)
             np.add.at(mark, drop + window, -1)
@@ -162,7 +263,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
             cols.append(pa.StructArray.from_arrays(rest.flatten(), names=[f.name for f in rest.type]))
         return pa.table(cols, names=["doc_id", "n_words", "removed", "kept"] + ["rest"] * bool(keep))
 
-    return based.groupBy("batch").cogroup(shared.unionByName(firsts).groupBy("batch")).applyInArrow(finish, schema)
+    told = shared.select("batch", "kind", "keys", F.lit(None).cast("binary").alias("stay")).unionByName(firsts)
+    return based.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, schema)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -76,7 +76,9 @@ def test_suffix_dedup_repeated_rows(spark):
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 300), (False, 300), (True, 0)]
 
 
-def test_substring_dedup(spark, docs, empty):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substring_dedup(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_RUNS", hot)
     expected = sorted((a, b, c, hashlib.sha256(b" ".join(w)).hexdigest()) for a, b, c, w in substring_dedup.brute_force(corpus()))
     for d in (docs, clash(docs)):
         got = substring_dedup.digests(substring_dedup.dedup(d)).collect()
@@ -84,6 +86,14 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.digests(substring_dedup.dedup(empty)).count() == 0
 
 
+def test_substring_dedup_of_words_that_repeat(spark):
+    """Few words, so anchors repeat inside a window and many contexts share one."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(60)))) for i in range(60)] + [(100 + i, " ".join(["x"] * (10 + i))) for i in range(8)]
+    expected = sorted((a, b, c, hashlib.sha256(b" ".join(w)).hexdigest()) for a, b, c, w in substring_dedup.brute_force(rows))
+    assert sorted(tuple(r) for r in substring_dedup.digests(substring_dedup.dedup(spark.createDataFrame(rows, DOC))).collect()) == expected
+
+
 def test_substring_dedup_keeps_columns_and_spacing(spark, docs):
     d = clash(docs.where("doc_id IS NOT NULL"))
     got = substring_dedup.dedup(d, keep=["batch", "kept"], spacing=True).collect()
