@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import new_folder, text_bytes
-from .repeats import by_group, unblob
+from .repeats import by_group, narrow, unblob, widen
 
 #: Hash of the token before the first word and of the end.
 START, END = K.U64(0x243F6A8885A308D3), K.U64(0x13198A2E03707344)
@@ -81,16 +81,6 @@ def _add_up(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np
     return keys[head], total, *(m[order][head] for m in more)
 
 
-def narrow(x: np.ndarray) -> np.ndarray:
-    """Counts with as many bytes as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
-
-
-def widen(raw: bytes, n: int) -> np.ndarray:
-    """n counts as int64, from bytes of narrow()."""
-    return np.frombuffer(raw, f"<u{len(raw) // n}" if n else np.uint8).astype(np.int64)
-
-
 class Files:
     """Arrays in the model's folder. A file: number of keys and columns, each column's width, then keys and columns."""
 

@@ -1,8 +1,8 @@
 """Which windows of the texts can occur twice: the exchange that substring operators share.
 
 A window's *seed* is the least hash of the k-grams in it, so equal windows have equal seeds, and
-consecutive windows mostly share one. Three exchanges find repeats without pairs, without collecting a
-group and without a broadcast:
+consecutive windows mostly share one. Three exchanges find repeats without pairs and without collecting a
+group; what is broadcast is the list of hot seeds, which is bounded:
 
 1. Each task asks, once for each of its seeds, whether the seed occurs elsewhere. The answer goes back
    to the seed's *batch* (a hash group of documents of bounded size). A seed that a task has seen
@@ -31,7 +31,7 @@ from .common import checkpointed, text_bytes
 BATCH_BYTES = 6 << 20
 #: Bytes of text after which a task sends what it has gathered.
 FLUSH_BYTES = 24 << 20
-#: A seed is hot beyond both of these; so the list of hot seeds, which all tasks hold, has at most HOT_SEEDS numbers (8 MB).
+#: A seed is hot beyond HOT_RUNS runs and a HOT_SEEDS-th of all; so the list of hot seeds, which all tasks hold, has at most HOT_SEEDS numbers (8 MB).
 HOT_RUNS = 4096
 HOT_SEEDS = 1_000_000
 SEVERAL = np.uint32(0xFFFFFFFF)
@@ -81,15 +81,60 @@ def unblob(col: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts with as many bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+
+
+def widen(raw: bytes, n: int) -> np.ndarray:
+    """n counts as int64, from bytes of narrow()."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}" if n else np.uint8).astype(np.int64)
+
+
 def lengths(col: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.fromiter((len(x) for x in col.to_pylist()), np.int64, len(col)) // np.dtype(dtype).itemsize
 
 
-def shared_seeds(based: DataFrame, n: int, seeds: Seeds, with_hot: bool = False) -> tuple[DataFrame, np.ndarray]:
-    """(batch, kind 0, keys): for each batch, its seeds that occur elsewhere too; and the hot seeds, sorted, if asked for.
+def hot_seeds(based: DataFrame, n: int, seeds: Seeds) -> np.ndarray:
+    """The hot seeds, sorted: those with more than HOT_RUNS runs, and more than a HOT_SEEDS-th of all, so there are at most HOT_SEEDS. Counted are seeds that
+    a task meets twice in FLUSH_BYTES of text; a seed that it meets once there is far from hot."""
 
-    Hot is a seed with more than HOT_RUNS runs, and more than a HOT_SEEDS-th of all runs: there are at most HOT_SEEDS such seeds.
-    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: list[np.ndarray] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            seed, runs = np.unique(np.concatenate(gathered), return_counts=True) if gathered else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            total, many = int(runs.sum()), runs > 1
+            gathered.clear()
+            rows = [(b, seed[many][part].tobytes(), runs[many][part].astype(np.int64).tobytes(), 0) for b, part in by_group((seed[many] % K.U64(n)).astype(np.int64))]
+            bucket, keys, counts, runs = zip(*rows, (0, b"", b"", total), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(runs, pa.int64())], names=["bucket", "keys", "counts", "runs"])
+
+        for _, buf, off in K.pieces(batches):
+            gathered.append(seeds(buf, off)[0])
+            size += len(buf)
+            if size >= FLUSH_BYTES:
+                yield send()
+                size = 0
+        yield send()
+
+    def heavy(table: pa.Table) -> pa.Table:
+        seed, runs = unblob(table.column("keys"), np.uint64), unblob(table.column("counts"), np.int64)
+        own, at = np.unique(seed, return_inverse=True)
+        total = np.bincount(at, weights=runs, minlength=len(own)).astype(np.int64)
+        hot = np.flatnonzero(total > HOT_RUNS)
+        # a row without a seed for the bucket's runs
+        return pa.table([pa.array([None, *own[hot].view(np.int64).tolist()], pa.int64()), pa.array([int(table.column("runs").to_numpy().sum()), *total[hot].tolist()], pa.int64())], names=["seed", "runs"])
+
+    found = based.select("text").mapInArrow(count, "bucket int, keys binary, counts binary, runs long").groupBy("bucket").applyInArrow(heavy, "seed long, runs long")
+    found = checkpointed(found)
+    total = found.where("seed IS NULL").agg(F.sum("runs")).first()[0] or 0
+    return np.sort(np.array([r["seed"] for r in found.where("seed IS NOT NULL").where(F.col("runs") > total // HOT_SEEDS).select("seed").collect()], np.int64).view(np.uint64))
+
+
+def shared_seeds(based: DataFrame, n: int, seeds: Seeds) -> DataFrame:
+    """(batch, kind 0, keys): for each batch, its seeds that occur elsewhere too."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -106,19 +151,16 @@ def shared_seeds(based: DataFrame, n: int, seeds: Seeds, with_hot: bool = False)
             several = np.diff(np.append(head, len(seed))) > 1
             if len(head):
                 several |= np.logical_or.reduceat(twice, head)
-            rows: list[tuple[int, int, bytes, bytes, bytes, int]] = []
+            rows: list[tuple[int, int, bytes, bytes]] = []
             own, where = seed[head], np.where(several, SEVERAL, batch[head])
-            runs = np.diff(np.append(head, len(seed))).astype(np.uint32)
             for bucket, part in by_group(own % K.U64(n)):
-                rows.append((bucket, ASK, own[part].tobytes(), where[part].tobytes(), runs[part].tobytes(), int(runs[part].sum())))
+                rows.append((bucket, ASK, own[part].tobytes(), where[part].tobytes()))
             told = np.repeat(several, np.diff(np.append(head, len(seed))))
             for b, part in by_group(batch[told]):
-                rows.append((b % n, KNOWN, np.unique(seed[told][part]).tobytes(), np.uint32(b).tobytes(), b"", 0))
+                rows.append((b % n, KNOWN, np.unique(seed[told][part]).tobytes(), np.uint32(b).tobytes()))
             if rows:
-                bucket, kind, a, w, c, total = zip(*rows, strict=True)
-                binary = pa.binary()
-                cols = [pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, binary), pa.array(w, binary), pa.array(c, binary), pa.array(total, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "kind", "keys", "where", "counts", "runs"])
+                bucket, kind, a, w = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(w, pa.binary())], names=["bucket", "kind", "keys", "where"])
 
         for rows, buf, off in K.pieces(batches):
             seed, text, twice = seeds(buf, off)
@@ -146,19 +188,8 @@ def shared_seeds(based: DataFrame, n: int, seeds: Seeds, with_hot: bool = False)
         batch, keys = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(batch, pa.int32()), pa.array([0] * len(batch), pa.int32()), pa.array(keys, pa.binary())], names=["batch", "kind", "keys"])
 
-    def heavy(table: pa.Table, least: int) -> pa.Table:
-        seed, count = unblob(table.column("keys"), np.uint64), unblob(table.column("counts"), np.uint32).astype(np.int64)
-        own, at = np.unique(seed, return_inverse=True)
-        return pa.table([pa.array(own[np.bincount(at, weights=count, minlength=len(own)) > least].view(np.int64))], names=["seed"])
-
-    asked = based.select("text", "batch").mapInArrow(ask, "bucket int, kind int, keys binary, where binary, counts binary, runs long")
-    hot = np.zeros(0, np.uint64)
-    if with_hot:
-        asked = checkpointed(asked)
-        least = max(HOT_RUNS, (asked.agg(F.sum("runs")).first()[0] or 0) // HOT_SEEDS)
-        found = asked.where(F.col("kind") == ASK).select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(lambda t: heavy(t, least), "seed long")
-        hot = np.sort(np.array([r["seed"] for r in found.collect()], np.int64).view(np.uint64))
-    return asked.select("bucket", "kind", "keys", "where").groupBy("bucket").applyInArrow(answer, "batch int, kind int, keys binary"), hot
+    asked = based.select("text", "batch").mapInArrow(ask, "bucket int, kind int, keys binary, where binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "batch int, kind int, keys binary")
 
 
 def within(values: np.ndarray, keys: np.ndarray) -> np.ndarray:

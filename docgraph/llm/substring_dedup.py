@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,8 +139,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
         pair = np.unique(np.stack((owner[at].astype(np.uint64), seed[at])), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
         return pair[1].copy(), pair[0].astype(np.int64), np.zeros(pair.shape[1], bool)
 
-    shared, hot_seeds = R.shared_seeds(based, n, seeds, with_hot=True)
-    hot = docs.sparkSession.sparkContext.broadcast(hot_seeds)
+    hot = docs.sparkSession.sparkContext.broadcast(R.hot_seeds(based, n, seeds))
+    shared = R.shared_seeds(based, n, seeds)
 
     def ids(rows: pa.RecordBatch) -> np.ndarray:
         return rows.column(rows.schema.get_field_index("doc_id")).fill_null(LAST_ID).to_numpy()
@@ -151,7 +152,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
         head[1:] = prints[order][1:] != prints[order][:-1]
         return order[head], prints[order][head]
 
-    names = ["prints", "checks", "seeds", "ids", "lefts", "sizes", "dictionary", "codes"]
+    def dealt(prints: np.ndarray, owner: np.ndarray, seed: np.ndarray, is_hot: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Places of the distinct contexts of a batch, by rising print, and for each bucket which of these it gets."""
+        at, _ = first_in_batch(prints, owner)
+        return at, list(R.by_group((np.where(is_hot, prints, seed)[at] % K.U64(n)).astype(np.int64)))
+
+    # per bucket and batch: seeds (of hot ones: both fingerprints), least doc_ids from their least on, words before the anchor, words, and these words
+    names = ["seeds", "prints", "base", "ids", "lefts", "sizes", "dictionary", "codes"]
 
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
         keys, parts, texts, batch = R.unblob(told.column("keys"), np.uint64), [], [], 0
@@ -163,79 +170,81 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
             size = np.where(c.hot[at], 0, c.size[at])
             total = np.cumsum(size)
             texts.append(c.words[np.repeat(c.a[at] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)])
-            bucket = np.where(c.hot, c.prints, c.seed)[at] % K.U64(n)
-            parts.append((c.prints[at], c.checks[at], c.seed[at], owner[at], (c.anchor - c.a)[at], size, bucket.astype(np.int64)))
+            parts.append((c.prints[at], c.checks[at], c.seed[at], owner[at], (c.anchor - c.a)[at], size, c.hot[at]))
         got = []
         if parts:
-            prints, checks, seed, owner, left, size, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+            prints, checks, seed, owner, left, size, is_hot = (np.concatenate(x) for x in zip(*parts, strict=True))
             words = np.concatenate(texts)
             begin = np.cumsum(size) - size
-            at, _ = first_in_batch(prints, owner)
-            for b, part in R.by_group(bucket[at]):
+            at, groups = dealt(prints, owner, seed, is_hot)
+            for b, part in groups:
                 part = at[part]
                 k = size[part]
                 own, codes = np.unique(words[np.repeat(begin[part] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))], return_inverse=True)
                 codes = codes.astype(np.min_scalar_type(max(0, len(own) - 1)))
-                got.append((b, batch, *(x.tobytes() for x in (prints[part], checks[part], seed[part], owner[part], left[part].astype(np.uint16), k.astype(np.uint16), own, codes))))
+                bare = part[is_hot[part]]
+                least = owner[part].min()
+                got.append((b, batch, *(x.tobytes() for x in (
+                    seed[part[~is_hot[part]]], np.stack((prints[bare], checks[bare])), least, R.narrow((owner[part] - least).view(np.uint64)), R.narrow(left[part]), R.narrow(k), own, codes,
+                ))))
         cols = list(zip(*got, strict=True)) if got else [()] * (2 + len(names))
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "batch", *names])
 
     sent = based.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, "bucket int, batch int, " + ", ".join(f"{c} binary" for c in names))
 
     def extend(table: pa.Table) -> pa.Table:
-        prints, checks, seed = (R.unblob(table.column(c), np.uint64) for c in ("prints", "checks", "seeds"))
-        doc, left, size = (R.unblob(table.column(c), t).astype(np.int64) for c, t in (("ids", np.int64), ("lefts", np.uint16), ("sizes", np.uint16)))
-        source = np.repeat(table.column("batch").to_numpy(), R.lengths(table.column("prints"), np.uint64))
+        rows = table.select(names).to_pylist()
+        # a context is hot where it came without words; then it has fingerprints in place of a seed
+        seeds, pairs, bases = ([np.frombuffer(r[c], t) for r in rows] for c, t in (("seeds", np.uint64), ("prints", np.uint64), ("base", np.int64)))
+        counts = [len(x) + len(y) // 2 for x, y in zip(seeds, pairs, strict=True)]
+        doc, left, size = (np.concatenate([R.widen(r[c], k) for r, k in zip(rows, counts, strict=True)]) for c in ("ids", "lefts", "sizes"))
+        doc = doc + np.repeat(np.concatenate(bases), counts)
+        seed, prints, checks = np.concatenate(seeds), *(np.concatenate([x.reshape(2, -1)[i] for x in pairs]) for i in (0, 1))
+        row = np.repeat(np.arange(len(rows)), counts)
         # words as small numbers
         dictionaries = [np.frombuffer(x, np.uint64) for x in table.column("dictionary").to_pylist()]
         _, number = np.unique(np.concatenate(dictionaries), return_inverse=True)
-        sizes = [int(np.frombuffer(x, np.uint16).astype(np.int64).sum()) for x in table.column("sizes").to_pylist()]
+        sizes = np.bincount(row, weights=size, minlength=len(rows)).astype(np.int64).tolist()
         words, at = [], 0
         for raw, own, count in zip(table.column("codes").to_pylist(), dictionaries, sizes, strict=True):
             if count:
                 words.append(number[at : at + len(own)][np.frombuffer(raw, f"<u{len(raw) // count}")])
             at += len(own)
         words = np.concatenate(words) if words else np.zeros(0, np.int64)
-        bits = np.zeros(len(prints), np.int64)
+        bits = np.zeros(len(size), np.int64)
         cold, bare = np.flatnonzero(size > 0), np.flatnonzero(size == 0)
         if len(cold):
-            _, group = np.unique(seed[cold], return_inverse=True)
+            _, group = np.unique(seed, return_inverse=True)
             bits[cold] = first_windows(words, (np.cumsum(size) - size)[cold], size[cold], left[cold], group, doc[cold], window, anchor)
         if len(bare):
-            _, same, _ = R.distinct(prints[bare], checks[bare])
+            _, same, _ = R.distinct(prints, checks)
             bits[bare] = _least(same, doc[bare])
-        at = np.flatnonzero(bits)
-        got = [(b, 1, prints[at[part]].tobytes(), bits[at[part]].astype(np.uint32).tobytes()) for b, part in R.by_group(source[at])]
-        batch, kind, keys, stay = zip(*got, strict=True) if got else ((), (), (), ())
-        return pa.table([pa.array(batch, pa.int32()), pa.array(kind, pa.int32()), pa.array(keys, pa.binary()), pa.array(stay, pa.binary())], names=["batch", "kind", "keys", "stay"])
+        # for each batch, the bits of its contexts in the order in which it sent them
+        stay = [R.narrow(x).tobytes() for x in np.split(bits, np.cumsum(counts)[:-1])]
+        return pa.table([table.column("batch"), table.column("bucket"), pa.array(stay, pa.binary())], names=["batch", "bucket", "stay"])
 
-    firsts = sent.groupBy("bucket").applyInArrow(extend, "batch int, kind int, keys binary, stay binary")
+    firsts = sent.groupBy("bucket").applyInArrow(extend, "batch int, bucket int, stay binary")
 
     schema = "doc_id long, n_words long, removed array<array<long>>, kept string" + (f", rest {based.schema['rest'].dataType.simpleString()}" if keep else "")
 
     def finish(docs: pa.Table, told: pa.Table) -> pa.Table:
-        kind = told.column("kind").to_numpy()
-        keys = R.unblob(told.column("keys").filter(pa.array(kind == 0)), np.uint64)
-        mine = told.filter(pa.array(kind == 1))
-        here, stay = R.unblob(mine.column("keys"), np.uint64), R.unblob(mine.column("stay"), np.uint32)
-        order = np.argsort(here, kind="stable")
-        here, stay = here[order], stay[order]
+        keys = R.unblob(told.column("keys").drop_null(), np.uint64)
+        answers = told.filter(pa.compute.is_valid(told.column("stay")))
+        stay = dict(zip(answers.column("bucket").to_pylist(), answers.column("stay").to_pylist(), strict=True))
         # the smallest document of each context in this batch
         blocks = list(R.table_blocks(docs))
         found = [Contexts(buf, off, keys, hot.value, window, anchor) for _, buf, off in blocks]
         owners = [ids(rows)[c.owner] for (rows, _, _), c in zip(blocks, found, strict=True)]
-        prints, owner = (np.concatenate(x) if x else np.zeros(0, t) for x, t in (([c.prints for c in found], np.uint64), (owners, np.int64)))
-        at, least_p = first_in_batch(prints, owner)
-        least_d = owner[at]
+        prints, owner, seed, is_hot = (np.concatenate(x) for x in ([c.prints for c in found], owners, [c.seed for c in found], [c.hot for c in found]))
+        at, groups = dealt(prints, owner, seed, is_hot)
+        least_p, least_d, staying = prints[at], owner[at], np.zeros(len(at), np.int64)
+        for bucket, part in groups:
+            staying[part] = R.widen(stay[bucket], len(part))
         counts, removed, kept = [], [], []
         for (_, buf, off), c, owner in zip(blocks, found, owners, strict=True):
             start, end, first = c.start, c.end, c.first
-            bits = np.zeros(len(c.prints), np.int64)
-            if len(here) and len(c.prints):
-                at = np.minimum(np.searchsorted(here, c.prints), len(here) - 1)
-                bits = np.where(here[at] == c.prints, stay[at], 0).astype(np.int64)
-            if len(c.prints):
-                bits[least_d[np.searchsorted(least_p, c.prints)] != owner] = 0
+            at = np.searchsorted(least_p, c.prints)
+            bits = np.where(least_d[at] == owner, staying[at], 0) if len(at) else at
             k = c.n_windows
             step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
             drop = (np.repeat(c.a, k) + step)[np.repeat(bits, k) >> step & 1 == 0]
@@ -263,7 +272,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
             cols.append(pa.StructArray.from_arrays(rest.flatten(), names=[f.name for f in rest.type]))
         return pa.table(cols, names=["doc_id", "n_words", "removed", "kept"] + ["rest"] * bool(keep))
 
-    told = shared.select("batch", "kind", "keys", F.lit(None).cast("binary").alias("stay")).unionByName(firsts)
+    told = shared.select("batch", "keys").unionByName(firsts, allowMissingColumns=True)
     return based.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, schema)
 
 

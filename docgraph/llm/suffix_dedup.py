@@ -112,8 +112,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         a, _ = _runs(seed, ok)
         return seed[a], np.searchsorted(off, a, "right") - 1, R.within(seed[a], several)
 
-    shared, hot_seeds = R.shared_seeds(based, n_batches, seeds, with_hot=True)
-    hot = docs.sparkSession.sparkContext.broadcast(hot_seeds)
+    hot = docs.sparkSession.sparkContext.broadcast(R.hot_seeds(based, n_batches, seeds))
+    shared = R.shared_seeds(based, n_batches, seeds)
 
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
         keys = R.unblob(told.column("keys"), np.uint64)
