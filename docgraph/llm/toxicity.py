@@ -14,13 +14,13 @@ ordinary dictionary less the length with the toxic one. A text's features are ho
 windows reach each of the `LEVELS` of advantage, in either direction, alone and by the number of windows; a logistic
 model on the other half of the sample turns them into a probability at the classes' true frequency.
 
-The sample is bounded: at most `SAMPLE` texts of each class, chosen by a hash of doc_id among the
-labelled training rows. Texts are whole, in training and in scoring. Labels, language, source and
+The sample is bounded: at most `SAMPLE` texts and `SAMPLE_BYTES` of each class, chosen by a hash of doc_id among the
+labelled training rows; of rows with one doc_id it holds the smallest text. Texts are whole, in training and in scoring. Labels, language, source and
 doc_id are not inputs of a score.
 
 Nulls: a null or wordless text has no windows and gets the score of such texts. Rows of labels without a value aren't
 used; several labels of one document count each. With no rows of one class, all scores are the share
-of toxic rows (0 without labels). Empty tables give empty results; columns beyond doc_id, text and toxic are not read.
+of toxic rows (0 without labels). A very long text is scored whole, as one block. Empty tables give empty results; columns beyond doc_id, text and toxic are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 
 SAMPLE = 2000
+#: Bytes of the sample of a class; texts of more than a 64th of that aren't trained on (but scored).
+SAMPLE_BYTES = 16 << 20
 CARRIER = bytes(range(128, 152))
 TAIL = bytes(range(200, 212))
 FRAGMENTS = range(4, 10)
@@ -43,11 +45,12 @@ FRAGMENTS = range(4, 10)
 LONG = 64
 PART = 32
 SHARED = FRAGMENTS[-1] - 1
-DICT_BYTES = 400
+#: Bound of a dictionary's content, which must fit zstd's window beside a word.
+DICT_BYTES = 3000
 #: Least log odds times root of count of a fragment, in the limit of many texts.
 SIGNIFICANT = 14.0
 #: Least share of a class's texts with a fragment.
-SHARE = 0.03
+SHARE = 0.01
 LEVELS = (1, 2, 3, 4, 5, 6)
 CACHE = 500_000
 THRESHOLD = 0.3
@@ -100,7 +103,7 @@ def _choose(mine: _Words, n_other: int, found: list[tuple]) -> bytes:
     """Content of a dictionary, the best last. The best is taken again and again; words that hold a chosen fragment no longer count for others."""
     texts = [t for f in found for t in f[0]]
     base = np.cumsum([0, *(len(f[0]) for f in found)])
-    c2, words = (np.concatenate([f[k] for f in found]) for k in (1, 3))
+    c2, words = np.concatenate([f[1] for f in found]).astype(np.float64), np.concatenate([f[3] for f in found])
     frags = np.concatenate([f[2] + b for f, b in zip(found, base[:-1], strict=True)])
     if len(frags):
         frags, words = np.unique(np.stack((frags, words)), axis=1)
@@ -110,8 +113,11 @@ def _choose(mine: _Words, n_other: int, found: list[tuple]) -> bytes:
         value = _value(np.bincount(frags, weights=left[words], minlength=len(texts)), mine.n, c2, n_other)
         gain = np.where(value > _least(mine.n), value * (sizes - 2.5), 0)
         k = int(gain.argmax())
-        if gain[k] <= 0 or len(texts[k]) > room:
+        if gain[k] <= 0:
             break
+        if len(texts[k]) > room:
+            c2[k] = mine.n * 1e9  # a shorter one may fit
+            continue
         out.append(texts[k])
         room -= len(texts[k])
         left[words[frags == k]] = 0
@@ -276,11 +282,13 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE)
     known = labels.where(use).where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic")
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     texts = []
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
     for kind in (1, 0):
         ids = known.where(F.col("toxic") == kind).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        # at most `sample` ids: a bounded broadcast
-        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).collect()
-        texts.append([r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"]))])
+        # at most `sample` ids: a bounded broadcast; of rows with one doc_id one text, so halves don't depend on their order
+        rows = docs.select("doc_id", "text").where(size <= SAMPLE_BYTES // 64).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        so_far = F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over at most `sample` rows
+        texts.append([r["text"] for r in rows.withColumn("h", F.xxhash64("doc_id")).withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).orderBy("h", "doc_id").select("text").collect()])
     return train_texts(*texts, count.get(1, 0), count.get(0, 0))
 
 

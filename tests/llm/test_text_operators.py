@@ -436,6 +436,38 @@ def test_toxicity(spark, empty):
     assert toxicity.train(d, lab.limit(0), F.lit(True)).prior == 0.0
 
 
+def test_toxicity_by_plain_compression(spark):
+    """Every window's advantage, by compressing it alone with either dictionary, and the score that follows from them."""
+    import zstandard as zstd
+
+    rng = random.Random(4)
+    bad = ["grubnak", "snorvelt", "plockish"]
+    rows = [(i, sentence(rng, 40) + (" " + " ".join(rng.choices(bad, k=4)) if i % 4 == 0 else "")) for i in range(300)]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, DOC), lab, F.lit(True))
+    # rows in another order, and each twice, make the same model
+    again = toxicity.train(spark.createDataFrame(rows[::-1] + rows, DOC).repartition(5), lab, F.lit(True))
+    assert again.content == model.content and np.array_equal(again.weights, model.weights)
+    params = zstd.ZstdCompressionParameters(
+        window_log=12, hash_log=12, chain_log=12, search_log=4, min_match=4, target_length=32, strategy=zstd.STRATEGY_GREEDY,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+
+    def length(data, content):
+        return len(zstd.ZstdCompressor(compression_params=params, dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress(data))
+
+    for _, text in rows[:12]:
+        plain = [length(data, model.content[0]) - length(data, model.content[1]) for data in (toxicity.CARRIER + b" " + w + b" " + toxicity.TAIL for w in text.encode().lower().split())]
+        got, _ = model.advantages(*toxicity._text_block([text]))
+        assert got.tolist() == plain
+        features = []
+        for level in toxicity.LEVELS:
+            for n in (sum(g >= level for g in plain), sum(g <= -level for g in plain)):
+                features += [math.log1p(n), min(n, 3), math.log1p(1000 * n / len(plain))]
+        z = model.weights[0] + sum(w * (f - m) / s for w, f, m, s in zip(model.weights[1:], features, model.mean, model.scale, strict=True))
+        assert model.scores(*toxicity._text_block([text]))[0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
 def test_toxicity_without_spaces():
     rng = random.Random(5)
     bad = ["grubnak", "snorvelt", "plockish"]
