@@ -158,7 +158,9 @@ def items():
     return [("b10", sentence(rng, 14)), ("b9", "The wheel, of ÉTAGE"), ("b1", None), ("b2", "..."), ("b3", "xx yy"), ("b4", "xx yy")]
 
 
-def test_decontamination(spark, empty):
+@pytest.mark.parametrize("most", [2 << 20, 60])
+def test_decontamination(spark, empty, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MAX_ITEM_BYTES", most)
     rng = random.Random(4)
     rows = corpus() + [(900 + i, sentence(rng, 10) + " - " + (t or "").upper().replace(" ", "  ") + "!" + sentence(rng, 5)) for i, (_, t) in enumerate(items())]
     d, b = spark.createDataFrame(rows, DOC), spark.createDataFrame(items(), "item_id string, text string")
