@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import Registry
 from ..model import IN, OUT
+from ..storage import checkpointed
 from . import graph
-from .walk import reach
+from .walk import reachable
 
 
 def affected(edges: DataFrame, changed: DataFrame, directions: tuple[str, ...] = (IN, OUT), max_depth: int | None = None) -> DataFrame:
@@ -16,9 +17,10 @@ def affected(edges: DataFrame, changed: DataFrame, directions: tuple[str, ...] =
 
     Both directions by default. With only the directions opposite to the configured walks, fewer are recomputed.
     """
+    ends = checkpointed(edges.select("tail", "head"))
     out = changed.select("key")
     for d in directions:
-        out = out.unionByName(reach(edges, changed, d, max_depth).select(F.col("node").alias("key")))
+        out = out.unionByName(reachable(ends, changed, d, max_depth).select(F.col("node").alias("key")))
     return out.distinct()
 
 

@@ -42,6 +42,20 @@ def reach(edges: DataFrame, roots: DataFrame, direction: str, max_depth: int | N
     return found
 
 
+def reachable(edges: DataFrame, keys: DataFrame, direction: str, max_depth: int | None = None) -> DataFrame:
+    """node: the set of what any of the keys reaches, themselves included. Unlike `reach` it doesn't tell roots apart, so a vertex stands once however many lead to it."""
+    step = steps(edges, direction, distinct=False)
+    found = frontier = checkpointed(keys.select(F.col("key").alias("node")).distinct())
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        frontier = checkpointed(frontier.join(step, "node").select(F.col("to").alias("node")).distinct().join(found, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    return found
+
+
 def closure(edges: DataFrame, direction: str) -> DataFrame:
     """root, node, depth for all vertices with edges as roots, without depth 0: distances double each round, so long chains take few."""
     found = steps(edges, direction).where("node <> to").select(F.col("node").alias("root"), F.col("to").alias("node"), F.lit(1).alias("depth"))
@@ -65,6 +79,8 @@ def chain(edges: DataFrame, roots: DataFrame, direction: str, depth: int) -> Dat
         found = level.withColumn("depth", F.lit(0))
         for d in range(1, depth + 1):
             level = level.join(step, "node").select("root", F.col("to").alias("node"))
+            # paths that meet again go on as one; the last step's repeats go below
+            level = level.distinct() if 1 < d < depth else level
             found = found.unionByName(level.withColumn("depth", F.lit(d)))
     else:
         # references mostly lead to one document: one row for each path, one join for each step
