@@ -42,6 +42,19 @@ def write_targets(targets: DataFrame, folder: str) -> None:
     targets.select(F.col("key")["index"].alias("index"), F.col("key")["type"].alias("type"), F.col("key")["id"].alias("id"), "doc").write.mode("overwrite").partitionBy("index", "type").parquet(folder)
 
 
+def write_json(targets: DataFrame, folder: str) -> None:
+    """Target documents as JSON lines {"id", "doc"}, one folder for each index and type; `read_json` gives them back."""
+    rows = targets.select(F.col("key")["index"].alias("index"), F.col("key")["type"].alias("type"), F.to_json(F.struct(F.col("key")["id"].alias("id"), "doc")).alias("value"))
+    rows.write.mode("overwrite").partitionBy("index", "type").text(folder)
+
+
+def read_json(spark: SparkSession, folder: str, doc: str) -> DataFrame:
+    """key, doc of documents that write_json wrote; doc: their schema."""
+    rows = spark.read.option("basePath", folder).text(folder)
+    value = F.from_json("value", f"struct<id:string,doc:{doc}>")
+    return rows.select(key(F.col("index"), F.col("type"), value["id"]).alias("key"), value["doc"].alias("doc"))
+
+
 def scan(documents: DataFrame, indexes: list[str], kind: str | None = None) -> DataFrame:
     """Keys and versions of the documents of some indexes (and a type)."""
     found = documents.where(F.col("key")["index"].isin(indexes))

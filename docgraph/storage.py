@@ -49,6 +49,14 @@ class Snapshots:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/v={version or self.current()}/{table}")
 
+    def drop_old(self, keep: int) -> None:
+        """Removes all but the last `keep` committed versions, and what aborted commits have left before them."""
+        newest = self.current()
+        for s in self._fs.listStatus(self._path(self.folder)) if newest else ():
+            name = s.getPath().getName()
+            if name.startswith("v=") and int(name[2:]) <= newest - keep:
+                self._fs.delete(s.getPath(), True)
+
     def commit(self, **tables: DataFrame) -> int:
         """Writes all tables as the next version, then its marker."""
         version = self.current() + 1

@@ -5,11 +5,11 @@ from cases import docs, text
 from pyspark.sql import functions as F
 
 from docgraph.config import Property, Registry, SourceConfig, Walk
-from docgraph.model import IN, key
+from docgraph.model import IN, OUT, key
 from docgraph.operators.extract import References, extract
 from docgraph.operators.recompute import recompute
 from docgraph.sources import changes, fixtures
-from docgraph.sources.documents import json_folder, valid_json, write_targets
+from docgraph.sources.documents import json_folder, read_json, valid_json, write_json, write_targets
 from docgraph.storage import Snapshots
 from docgraph.streaming.deltas import write_deltas
 from docgraph.streaming.updater import Updater, backoff, split_dead
@@ -69,6 +69,60 @@ def test_stream_with_stale_change(spark, tmp_path):
     assert any('"ae"' in r.value for r in spark.read.text(f"{tmp_path}/deltas").collect())
 
 
+def test_missing_documents_wait_and_die(spark, tmp_path):
+    """An update that comes before its document is retried with backoff, applied once the document is there, and dead after the last retry."""
+    state = {"1": (1, "2")}
+    up = Updater(Snapshots(spark, f"file://{tmp_path}/s"), CFG, lambda: store(spark, state), base_ms=100, max_retries=2, keep_versions=2)
+    up.start_empty()
+    waiting = lambda: sorted((r.key.id, r.retries, r.due) for r in up.snapshots.read("waiting").collect())
+    assert up.apply(change(spark, [("UPDATE", "7", 1), ("UPDATE", "8", 1)]), 1000).count() == 0
+    assert waiting() == [("7", 1, 1100), ("8", 1, 1100)]
+    assert up.apply(change(spark, []), 1050).count() == 0 and len(waiting()) == 2  # too early
+    state["8"] = (1, "1")
+    assert up.apply(change(spark, []), 1100).count() == 0
+    assert waiting() == [("7", 2, 1300)] and rows(up.snapshots.read("targets"))["1"][0] == 1
+    assert [(r.key.id, r.retries) for r in up.apply(change(spark, []), 1300).collect()] == [("7", 3)]
+    assert waiting() == [] and up.snapshots.current() == 5
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["v=4", "v=5"]
+
+
+def test_updater_with_several_configurations(spark, tmp_path):
+    """A change reaches the targets of every configuration whose walks meet it, and edges come from the rules of all."""
+    up_refs = (References("up", "s", "t", lambda d: F.filter(F.split(d["source"], ","), lambda x: x == "9")),)
+    other = SourceConfig("other", "t", "s", "t", up_refs, filter=lambda d: d["source"] != "", walks=(Walk("up", OUT, (Property("m", lambda d: F.count("*"), empty=0),)),))
+    state = {"1": (1, "2"), "2": (1, ""), "9": (1, "")}
+    registry = Registry([CFG, other])
+    up = Updater(Snapshots(spark, f"file://{tmp_path}/s"), registry, lambda: store(spark, state))
+    up.start_empty()
+    state["2"] = (2, "9")
+    assert up.apply(change(spark, [("UPDATE", "2", 2), ("DELETE", "none", 1)])).count() == 0
+    d = store(spark, state)
+    edges = extract(d, REFS).unionByName(extract(d, up_refs))
+    for config in registry.configs:
+        want = recompute(d, edges, config).where("status = 'OK'")
+        now = {r.key.id: (tuple(r.doc), r.from_source.version) for r in up.snapshots.read(up.table(config)).collect()}
+        assert now == {r.key.id: (tuple(r.doc), r.from_source.version) for r in want.collect()}
+    assert {r.status for r in up.snapshots.read("results").collect()} == {"OK", "FILTERED"}
+
+
+def test_replayed_batch_writes_dead_letters_once(spark, tmp_path):
+    state = {"1": (2, "")}
+    up = Updater(Snapshots(spark, f"file://{tmp_path}/s"), CFG, lambda: store(spark, state))
+    up.start_empty()
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "a.txt").write_text("UPDATE,t,1,0,1\n")
+    for again in ("a", "b"):  # without the first query's checkpoint, its batch comes again
+        up.run(changes.stream(spark, str(tmp_path / "feed"), "s"), f"{tmp_path}/check-{again}", f"{tmp_path}/dead").awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/dead").count() == 1
+
+
+def test_json_targets_come_back(spark, tmp_path):
+    d = store(spark, {"1": (1, 'a "b"'), "2": (2, "")})
+    write_json(d.select("key", "doc"), f"file://{tmp_path}/out")
+    back = read_json(spark, f"file://{tmp_path}/out", "struct<source:string>")
+    assert sorted((r.key.id, r.doc.source) for r in back.collect()) == [("1", 'a "b"'), ("2", "")]
+
+
 def test_snapshot_without_marker_is_not_seen(spark, tmp_path):
     s = Snapshots(spark, f"file://{tmp_path}/x")
     assert s.current() == 0

@@ -46,6 +46,22 @@ def test_siblings_first_then_child_by_child(spark):
     assert lines[-1] == "      l/v/x"
 
 
+def test_reachable_is_the_set_of_all_reached(spark):
+    rng = random.Random(5)
+    e = lit(spark, [(str(rng.randrange(15)), str(rng.randrange(15))) for _ in range(18)])
+    some = keys(spark, ["l/v/1", "l/v/4", "l/v/99"])
+    for direction in (IN, OUT):
+        for most in (None, 1):
+            assert nodes(walk.reachable(e, some, direction, most)) == sorted(set(nodes(walk.reach(e, some, direction, most))))
+
+
+def test_diamonds_stay_small(spark):
+    """A chain of 12 diamonds has 4096 paths; steps go on from places, not from paths."""
+    pairs = [p for i in range(12) for p in ((f"a{i}", f"b{i}"), (f"a{i}", f"c{i}"), (f"b{i}", f"a{i + 1}"), (f"c{i}", f"a{i + 1}"))]
+    e = edges(spark, [(f"l/v/{b}", "e", f"l/v/{a}", f"l/v/{b}") for a, b in pairs])
+    assert walk.chain(e, keys(spark, ["l/v/a0"]), IN, 4).count() == 7
+
+
 def test_chain_equals_reach(spark):
     rng = random.Random(3)
     e = lit(spark, [(str(rng.randrange(12)), str(rng.randrange(12))) for _ in range(20)])
@@ -54,48 +70,48 @@ def test_chain_equals_reach(spark):
     assert a == b
 
 
-CHILD = (References("child", "test-index", "test-type", lambda d: F.from_json(d["source"], "children array<string>")["children"], inwards=True),)
+CHILD = (References("part_of", "shed", "tool", lambda d: F.from_json(d["source"], "parts array<string>")["parts"], inwards=True),)
 
 
 def three(spark):
-    d = docs(spark, [("test-index", "test-type", i, 1, s) for i, s in (("1234", '{"children":[1,2,3]}'), ("1", '{"cheese":"gorgonzola"}'), ("2", '{"cheese":"mozarella"}'))])
+    d = docs(spark, [("shed", "tool", i, 1, s) for i, s in (("plough", '{"parts":["share","beam","wheel"]}'), ("share", '{"kg":4}'), ("beam", '{"kg":9}'))])
     return d, extract(d, CHILD)
 
 
 def test_three_documents(spark):
     d, e = three(spark)
     props = lambda n: (Property(n, tree=lambda t: t),)
-    cfg = SourceConfig("test-target", "test-type", "test-index", "test-type", CHILD, walks=(Walk("nodes-in", IN, props("nodes_in")), Walk("nodes-out", OUT, props("nodes_out"))))
+    cfg = SourceConfig("list", "tool", "shed", "tool", CHILD, walks=(Walk("nodes-in", IN, props("nodes_in")), Walk("nodes-out", OUT, props("nodes_out"))))
     got = {r.key.id: r.doc for r in recompute.recompute(d, e, cfg).collect()}
     count = {k: (len(json.loads(v.nodes_in)["_children"]), len(json.loads(v.nodes_out)["_children"])) for k, v in got.items()}
-    assert count == {"1234": (3, 0), "1": (0, 1), "2": (0, 1)}
-    inside = {c["_value"]["vertex"][2]: c["_value"]["exists"] for c in json.loads(got["1234"].nodes_in)["_children"]}
-    assert inside == {"1": True, "2": True, "3": False}
+    assert count == {"plough": (3, 0), "share": (0, 1), "beam": (0, 1)}
+    inside = {c["_value"]["vertex"][2]: c["_value"]["exists"] for c in json.loads(got["plough"].nodes_in)["_children"]}
+    assert inside == {"share": True, "beam": True, "wheel": False}
 
 
 def test_delete_by_scope(spark):
     d, e = three(spark)
-    d = d.unionByName(docs(spark, [("test-index", "othertest-type", "3", 1, "{}")]))
-    c, e = graph.delete(d.select("key", "version"), e, keys(spark, ["test-index/test-type/1234"]))
-    for wanted, left in ((("test-index", "test-type"), 1), (("test-index", None), 0)):
+    d = d.unionByName(docs(spark, [("shed", "spare", "wheel", 1, "{}")]))
+    c, e = graph.delete(d.select("key", "version"), e, keys(spark, ["shed/tool/plough"]))
+    for wanted, left in ((("shed", "tool"), 1), (("shed", None), 0)):
         ask = spark.createDataFrame([(1, "DELETE", *wanted, None, None)], "request int, action string, index string, type string, id string, version long")
         c, e = graph.delete(c, e, dirty.fan_out(ask, graph.vertices(c, e)))
-        assert graph.in_index(graph.vertices(c, e), "test-index").count() == left
+        assert graph.in_index(graph.vertices(c, e), "shed").count() == left
 
 
 def test_failing_reduction_is_null_and_nodes_flatten(spark):
     d, e = three(spark)
-    t = walk.tree(walk.reach(e, keys(spark, ["test-index/test-type/1234"]), IN), e, IN)
+    t = walk.tree(walk.reach(e, keys(spark, ["shed/tool/plough"]), IN), e, IN)
     assert red.by_tree(t, d, lambda x: 1 / 0).first().value is None
     assert json.loads(red.by_tree(t, d, lambda x: len(red.nodes(x))).first().value) == 4
 
 
 def test_expired_aborts_the_document(spark):
     d, e = three(spark)
-    v = graph.vertices(d.select("key", F.when(F.col("key")["id"] == "2", 9).otherwise(1).cast("long").alias("version")), e)
-    cfg = SourceConfig("t", "x", "test-index", "test-type", CHILD, walks=(Walk("in", IN, (Property("n", lambda c: F.count("*"), empty=0),)),))
+    v = graph.vertices(d.select("key", F.when(F.col("key")["id"] == "beam", 9).otherwise(1).cast("long").alias("version")), e)
+    cfg = SourceConfig("t", "x", "shed", "tool", CHILD, walks=(Walk("in", IN, (Property("n", lambda c: F.count("*"), empty=0),)),))
     got = {r.key.id: r.status for r in recompute.recompute(d, e, cfg, vertices=v).collect()}
-    assert got == {"1234": "EXPIRED", "1": "OK", "2": "EXPIRED"}
+    assert got == {"plough": "EXPIRED", "share": "OK", "beam": "EXPIRED"}
 
 
 def test_get_versioned(spark):
