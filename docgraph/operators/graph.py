@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import IN, OUT, key
+from ..model import IN, key, no_props
 
 
 def vertices(committed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,13 +95,14 @@ def duplicates(all_vertices: DataFrame) -> DataFrame:
     return all_vertices.groupBy("key").count().where("count > 1")
 
 
-def random_graph(spark, n: int, p: float, seed: int = 1) -> DataFrame:  # noqa: ANN001
-    """Edges among n vertices, each ordered pair kept where a random number exceeds p."""
-    pairs = spark.range(n * n).select((F.col("id") % n).alias("a"), F.floor(F.col("id") / n).alias("b")).where("a <> b")
-    kept = pairs.where(F.rand(seed) > p)
-    from ..model import no_props
+def draw(*parts: Column | str) -> Column:
+    """A number in [0, 1) that follows from the parts: the first 32 bits of an MD5 sum."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("double") / (1 << 32)
 
-    return kept.select(key("random", "v", "a").alias("tail"), F.lit("e").alias("label"), key("random", "v", "b").alias("head"), key("random", "v", "a").alias("owner"), no_props().alias("props"))
 
-
-DIRECTIONS = (IN, OUT)
+def random_graph(numbers: DataFrame, p: float, seed: str = "1") -> DataFrame:
+    """Edges of a graph that grows by the vertices of numbers (n: 0, 1, 2, ...): with each new vertex comes, where a random
+    number exceeds p, one edge between two earlier ones, unless these are the same. The drawn numbers follow from seed and n, so lost tasks draw them again."""
+    ends = numbers.where(draw(seed, "keep", F.col("n")) > p).select("n", *[F.floor(draw(seed, e, F.col("n")) * F.col("n")).alias(e) for e in ("a", "b")]).where("a <> b")
+    k = lambda c: key("random", "v", c)
+    return ends.select(k("a").alias("tail"), F.lit("edge").alias("label"), k("b").alias("head"), k("n").alias("owner"), no_props().alias("props"))

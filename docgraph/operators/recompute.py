@@ -99,6 +99,13 @@ def outcomes(statuses: DataFrame, column: str = "status") -> DataFrame:
     return statuses.withColumns({"severity": F.coalesce(severity, F.lit("ERROR")), "http_code": F.coalesce(code, F.lit(500))})
 
 
+def rendered(results: DataFrame, message: Column | None = None) -> DataFrame:
+    """Adds response: the JSON text that a caller gets, with status (ok or error), severity, code, outcome and message."""
+    made = outcomes(results)
+    fields = {"status": F.when(F.col("severity") == "ERROR", "error").otherwise("ok"), "severity": F.lower("severity"), "code": F.col("http_code"), "outcome": F.coalesce("status", F.lit("FAILED"))}
+    return made.withColumn("response", F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], *([message.alias("message")] if message is not None else []))))
+
+
 def request_outcome(results: DataFrame, request: str) -> DataFrame:
     """One row for each request: it fails if any of its results is an error; the worst code counts."""
     made = outcomes(results)

@@ -22,6 +22,20 @@ def decode(calls: DataFrame, method: str = "method", path: str = "path") -> Data
     return out.withColumn("valid", valid).drop("__v")
 
 
+def judged(asked: DataFrame, documents: DataFrame, vertices: DataFrame, configs: DataFrame) -> DataFrame:
+    """Adds status to requests for documents (key, version, valid): the first of INVALID_REQUEST, NO_CONFIGURATION, NOT_IN_GRAPH (no
+    vertex with a document), SOURCE_MISSING, EXPIRED (the store has another version) that applies, or OK. A null version asks for whatever there is."""
+    stored = documents.select("key", F.col("version").alias("__stored"))
+    known = vertices.where("version > 0").select("key", F.lit(True).alias("__known"))
+    configured = match_configs(asked.select("key").distinct(), configs).groupBy("key").agg(F.bool_or(F.col("target_index").isNotNull()).alias("__configured"))
+    out = asked.join(stored, "key", "left").join(known, "key", "left").join(configured, "key", "left")
+    status = (
+        F.when(~F.coalesce("valid", F.lit(False)), "INVALID_REQUEST").when(~F.coalesce("__configured", F.lit(False)), "NO_CONFIGURATION").when(F.col("__known").isNull(), "NOT_IN_GRAPH")
+        .when(F.col("__stored").isNull(), "SOURCE_MISSING").when(F.col("__stored") != F.coalesce("version", "__stored"), "EXPIRED").otherwise("OK")
+    )
+    return out.withColumn("status", status).drop("__stored", "__known", "__configured")
+
+
 def match_configs(documents: DataFrame, configs: DataFrame) -> DataFrame:
     """Each document's configurations, and those without any as one row with nulls. configs: a small table, a row for each configuration."""
     k = F.col("key")

@@ -83,6 +83,15 @@ def change_log(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(action.alias("action"), key("users", "user", "user_id").alias("key"), n.cast("long").alias("version"), F.lit(0).alias("retries"), "event_id", "event_type")
 
 
+def together(docs: dict[str, DataFrame]) -> DataFrame:
+    """Documents of several tables as one table: the struct doc has the columns of all of them."""
+    made = None
+    for d in docs.values():
+        flat = d.select("key", "version", "doc.*")
+        made = flat if made is None else made.unionByName(flat, allowMissingColumns=True)
+    return made.select("key", "version", F.struct(*[c for c in made.columns if c not in ("key", "version")]).alias("doc"))
+
+
 def customer_config(name: str = "customer") -> SourceConfig:
     """Customers with what is known of their orders."""
     is_order = lambda k, d: F.col("depth") == 1

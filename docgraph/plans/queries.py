@@ -96,28 +96,22 @@ def graph_vertex_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return graph.resolve(star_vertices(spark, sf), "shop", "customer", "8").select(key_text("key").alias("key"), "version")
 
 
-@query("SELECT key, count(*) AS n FROM (SELECT o_orderkey AS key FROM orders) GROUP BY key HAVING count(*) > 1")
+@query("SELECT 'shop/customer/' || o_custkey AS key, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def graph_vertex_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.duplicates(star_vertices(spark, sf)).select(F.col("key")["id"].cast("long").alias("key"), F.col("count").alias("n"))
+    """Of the ends of all orders' edges, which no graph has merged yet."""
+    ends = c.edges_of(c.documents(spark, sf, "orders")).select(F.col("head").alias("key"))
+    return graph.duplicates(ends).select(key_text("key").alias("key"), F.col("count").alias("n"))
 
 
 @query(f"SELECT * FROM ({ORDER_EDGES}) WHERE tail = 'shop/orders/5'")
 def graph_edge_find(spark: SparkSession, sf: str) -> DataFrame:
-    edges = c.star(spark, sf)[1]
-    o = table(spark, sf, "orders").where("o_orderkey = 5").select(key("shop", "customer", "o_custkey").alias("h"))
-    found = edges.where((F.col("tail") == key("shop", "orders", F.lit("5"))) & (F.col("label") == "placed_by")).join(o, F.col("head") == F.col("h"), "left_semi")
-    return edge_rows(found)
-
-
-@query(f"SELECT * FROM ({STAR_EDGES}) WHERE tail LIKE 'shop/customer/%' AND split_part(tail, '/', 3)::BIGINT % 10 = 0")
-def graph_owned_edges(spark: SparkSession, sf: str) -> DataFrame:
-    docs, edges = c.star(spark, sf)
-    return edge_rows(graph.owned_by(edges, docs["customer"].where(F.col("doc")["c_custkey"] % 10 == 0)))
+    customer = table(spark, sf, "orders").where("o_orderkey = 5").first()
+    head = customer["o_custkey"] if customer else None
+    return edge_rows(graph.find_edges(c.star(spark, sf)[1], key("shop", "orders", F.lit("5")), "placed_by", key("shop", "customer", F.lit(head))))
 
 
 @query(STAR_EDGES)
-def graph_owned_edges_all(spark: SparkSession, sf: str) -> DataFrame:
-    """graph_owned_edges with all star documents as owners."""
+def graph_owned_edges(spark: SparkSession, sf: str) -> DataFrame:
     docs, edges = c.star(spark, sf)
     return edge_rows(graph.owned_by(edges, c.keys_of(docs)))
 
@@ -212,12 +206,14 @@ def extract_self_loops(spark: SparkSession, sf: str) -> DataFrame:
     return self_loops(c.transitions(spark, sf)).select(key_text("tail").alias("key"))
 
 
-@query(f"""
-WITH t AS ({TRANSITIONS}) SELECT 'log/type/' || a AS tail, 'then' AS label, 'log/type/' || b AS head FROM t
-WHERE b IS NOT NULL AND a NOT IN (SELECT a FROM t WHERE a = b)
+@query("""
+SELECT 'shop/customer/' || c_custkey AS tail, unnest(['lives_in', 'brought_by']) AS label, unnest(['shop/nation/' || c_nationkey, 'shop/customer/' || c_nationkey]) AS head
+FROM customer WHERE c_custkey <> c_nationkey
 """)
 def extract_rejects_loops(spark: SparkSession, sf: str) -> DataFrame:
-    return edge_rows(without_rejected(c.transitions(spark, sf)))
+    """Customers that refer to the customer with their nation's number; those who are that customer lose all their edges."""
+    brought = Reference("brought_by", "shop", "customer", lambda d: d["c_nationkey"])
+    return edge_rows(without_rejected(extract(table_documents(spark, sf, "customer"), (*c.RULES["customer"], brought))))
 
 
 # --- the graph under commits and deletes
@@ -443,7 +439,15 @@ def walk_expired(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.expired_roots(resolve.resolve(reached, store, graph.vertices(c.keys_of(docs), edges))).select(key_text("root").alias("root"))
 
 
-@query()
+TREE_EDGE = """{{"edge": {{"from": ["shop", "{}", "' || {} || '"], "label": "{}"}}, """
+TREE_NODE = """"exists": true, "value": {{"name": "' || {} || '"}}, "vertex": ["shop", "{}", "' || {} || '"]}}}}"""
+
+
+@query(f"""
+WITH s AS (SELECT s_nationkey AS up, s_suppkey::VARCHAR AS id, '{{"_children": [], "_value": {TREE_EDGE.format("nation", "s_nationkey", "lives_in")}{TREE_NODE.format("s_name", "supplier", "s_suppkey")}' AS j FROM supplier),
+n AS (SELECT n_regionkey AS up, n_nationkey::VARCHAR AS id, '{{"_children": [' || coalesce((SELECT string_agg(j, ', ' ORDER BY s.id) FROM s WHERE s.up = n_nationkey), '') || '], "_value": {TREE_EDGE.format("region", "n_regionkey", "part_of")}{TREE_NODE.format("n_name", "nation", "n_nationkey")}' AS j FROM nation)
+SELECT 'shop/region/' || r_regionkey AS root, '{{"_children": [' || coalesce((SELECT string_agg(j, ', ' ORDER BY n.id) FROM n WHERE n.up = r_regionkey), '') || '], "_value": {{{TREE_NODE.format("r_name", "region", "r_regionkey")}' AS value FROM region
+""")
 def walk_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Regions with the whole tree below them as JSON: nations, then suppliers."""
     docs = c.documents(spark, sf, "supplier", "nation", "region")
@@ -560,18 +564,8 @@ SELECT c_custkey, coalesce(n, 0) AS c_name FROM customer LEFT JOIN (SELECT o_cus
 def merge_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     docs = c.documents(spark, sf, "orders", "customer")
     w = Walk("orders", IN, (Property("c_name", lambda d: F.count("*"), empty=0),), depth=1)
-    values, _ = recompute.walk_values(docs["orders"], c.edges_of({"orders": docs["orders"]}), docs["customer"], w)
-    merged = docs["customer"].join(values.withColumnRenamed("root", "key"), "key").select(F.col("doc").withField("c_name", F.col("c_name")).alias("doc"))
-    return merged.select("doc.c_custkey", "doc.c_name")
-
-
-def enriched(spark: SparkSession, sf: str, config: SourceConfig | None = None) -> DataFrame:
-    """Customers with what is known of their orders; the first slice of the engine."""
-    docs = c.documents(spark, sf, "orders", "customer")
-    config = config or c.customer_config()
-    edges = c.edges_of(docs)
-    values, _ = recompute.walk_values(docs["orders"], edges, docs["customer"], config.walks[0])
-    return docs["customer"].join(values.withColumnRenamed("root", "key"), "key")
+    cfg = SourceConfig("enriched", "customer", "shop", "customer", walks=(w,))
+    return recompute.recompute(c.together(docs), c.edges_of({"orders": docs["orders"]}), cfg).select("doc.c_custkey", "doc.c_name")
 
 
 ENRICHED = """
@@ -582,7 +576,30 @@ FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_na
 
 @query(ENRICHED)
 def recompute_full(spark: SparkSession, sf: str) -> DataFrame:
-    return enriched(spark, sf).select("doc.c_custkey", "doc.c_name", "n_orders", F.col("total").cast("double").alias("total"), F.array_join("first_orders", ",").alias("first_orders"))
+    """Customers with what is known of their orders; the first slice of the engine."""
+    docs = c.documents(spark, sf, "orders", "customer")
+    made = recompute.recompute(c.together(docs), c.edges_of(docs), c.customer_config()).where("status = 'OK'").select("doc.*")
+    return made.select("c_custkey", "c_name", "n_orders", F.col("total").cast("double").alias("total"), F.array_join("first_orders", ",").alias("first_orders"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total, bool_or(o_orderkey % 50 = 0) AS late FROM orders GROUP BY o_custkey)
+SELECT 'best/customer/' || c_custkey AS key, CASE WHEN c_acctbal <= 0 THEN 'FILTERED' WHEN coalesce(late, false) THEN 'EXPIRED' ELSE 'OK' END AS status,
+CASE WHEN c_acctbal > 0 AND NOT coalesce(late, false) THEN upper(c_name) END AS name, CASE WHEN c_acctbal > 0 AND NOT coalesce(late, false) THEN coalesce(n, 0) END AS c_nationkey,
+CASE WHEN c_acctbal > 0 AND NOT coalesce(late, false) THEN total END AS total, CASE WHEN c_acctbal > 0 AND NOT coalesce(late, false) THEN n_name END AS nation
+FROM customer LEFT JOIN o ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey
+""")
+def recompute_everything(spark: SparkSession, sf: str) -> DataFrame:
+    """Filter, transformation, walks in both directions, properties that replace fields, and expiry: every 50th order is newer in the store than in the graph."""
+    docs, edges = c.star(spark, sf)
+    vertices = graph.vertices(c.keys_of(docs), edges)
+    docs["orders"] = docs["orders"].withColumn("version", F.when(F.col("doc")["o_orderkey"] % 50 == 0, 2).otherwise(1).cast("long"))
+    into = Walk("orders", IN, (Property("c_nationkey", lambda d: F.count("*"), empty=0), Property("total", lambda d: F.sum(d["o_totalprice"].cast("decimal(18,2)")))), depth=1)
+    out = Walk("nation", OUT, (Property("nation", lambda d: F.max(d["n_name"])),), depth=1)
+    shape = lambda d: F.struct(F.upper(d["c_name"]).alias("name"), d["c_nationkey"].alias("c_nationkey"))
+    cfg = SourceConfig("best", "customer", "shop", "customer", filter=lambda d: d["c_acctbal"] > 0, transform=shape, walks=(into, out))
+    made = recompute.recompute(c.together(docs), edges, cfg, vertices=vertices)
+    return made.select(key_text("key").alias("key"), "status", "doc.name", "doc.c_nationkey", F.col("doc.total").cast("double").alias("total"), "doc.nation")
 
 
 @query("""
@@ -599,12 +616,10 @@ SELECT n_nationkey, count(c_custkey) AS customers, any_value(r_name) AS region F
 """)
 def recompute_two_walks(spark: SparkSession, sf: str) -> DataFrame:
     docs = c.documents(spark, sf, "customer", "nation", "region")
-    edges = c.edges_of(docs)
     into = Walk("in", IN, (Property("customers", lambda d: F.count("*"), empty=0),), depth=1)
     out = Walk("out", OUT, (Property("region", lambda d: F.first(d["r_name"])),), depth=1)
-    a, _ = recompute.walk_values(docs["customer"], edges, docs["nation"], into)
-    b, _ = recompute.walk_values(docs["region"], edges, docs["nation"], out)
-    return a.join(b, "root").select(F.col("root")["id"].cast("int").alias("n_nationkey"), "customers", "region")
+    made = recompute.recompute(c.together(docs), c.edges_of(docs), SourceConfig("enriched", "place", "shop", "nation", walks=(into, out)))
+    return made.select("doc.n_nationkey", "doc.customers", "doc.region")
 
 
 @query("""
@@ -697,14 +712,13 @@ def recompute_incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame
     docs = c.documents(spark, sf, "orders", "customer")
     committed, edges, batch, new = changed_orders(spark, sf)
     w = Walk("orders", IN, (Property("n_orders", lambda d: F.count("*"), empty=0),), depth=1)
-    old, _ = recompute.walk_values(docs["orders"], edges, docs["customer"], w)
+    cfg, store = SourceConfig("enriched", "customer", "shop", "customer", walks=(w,)), c.together(docs)
+    old = recompute.recompute(store, edges, cfg).where("status = 'OK'").drop("status")
     _, after, _ = graph.commit(committed, edges, batch, new)
     after = checkpointed(after)
     keys = dirty.around_commit(edges, after, batch.where("version > 0").select("key"), (OUT,))
-    again = docs["customer"].join(keys, "key", "left_semi")
-    fresh, _ = recompute.walk_values(docs["orders"], after, again, w)
-    both = old.join(fresh.select("root"), "root", "left_anti").unionByName(fresh)
-    return both.select(F.col("root")["id"].cast("long").alias("c_custkey"), "n_orders")
+    now = recompute.upsert(old, recompute.recompute(store, after, cfg, only=keys))
+    return now.select("doc.c_custkey", "doc.n_orders")
 
 
 # --- change feeds
@@ -809,23 +823,11 @@ def delta_encode(spark: SparkSession, sf: str) -> DataFrame:
     return delta.encoded(delta.nodes(v.where("version < 0"), v))
 
 
-@query("""
-SELECT 'an' AS op, 'shop/customer/' || c_custkey AS name FROM customer WHERE c_nationkey = 3
-UNION ALL SELECT 'ae', 'shop/customer/' || c_custkey || '--lives_in->shop/nation/3' FROM customer WHERE c_nationkey = 3
-UNION ALL SELECT 'an', 'shop/region/' || n_regionkey FROM nation WHERE n_nationkey = 3
-UNION ALL SELECT 'ae', 'shop/nation/3--part_of->shop/region/' || n_regionkey FROM nation WHERE n_nationkey = 3
-""")
-def delta_unfold(spark: SparkSession, sf: str) -> DataFrame:
-    docs, edges = c.star(spark, sf)
-    return delta.unfold(edges, docs["nation"].where(F.col("doc")["n_nationkey"] == 3))
-
-
 @query(f"""
 WITH e AS ({STAR_EDGES}) SELECT 'an' AS op, tail AS name FROM e UNION SELECT 'an', head FROM e
 UNION ALL SELECT 'ae', tail || '--' || label || '->' || head FROM e
 """)
-def delta_unfold_all(spark: SparkSession, sf: str) -> DataFrame:
-    """delta_unfold with all star documents as keys."""
+def delta_unfold(spark: SparkSession, sf: str) -> DataFrame:
     docs, edges = c.star(spark, sf)
     return delta.unfold(edges, c.keys_of(docs))
 
@@ -893,9 +895,44 @@ def fixture_tally(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.tally(fixture_verify(spark, sf))
 
 
-@query()
+DRAW = "(('0x' || substr(md5('1-{}-' || n), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query(f"""
+WITH v AS (SELECT c_custkey - 1 AS n FROM customer), d AS (SELECT n, floor({DRAW.format("a")} * n)::BIGINT AS a, floor({DRAW.format("b")} * n)::BIGINT AS b FROM v WHERE {DRAW.format("keep")} > 0.8)
+SELECT 'random/v/' || a AS tail, 'edge' AS label, 'random/v/' || b AS head FROM d WHERE a <> b
+""")
 def random_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return edge_rows(graph.random_graph(spark, 100, 0.8))
+    """A vertex for each customer, in the order of their numbers."""
+    return edge_rows(graph.random_graph(table(spark, sf, "customer").select((F.col("c_custkey") - 1).cast("long").alias("n")), 0.8))
+
+
+@query("""
+SELECT 'shop/orders/' || o_orderkey AS key, CASE WHEN o_orderkey % 11 = 0 THEN 'INVALID_REQUEST' WHEN o_orderkey % 7 = 0 THEN 'NO_CONFIGURATION' WHEN o_orderkey % 5 = 0 THEN 'NOT_IN_GRAPH'
+WHEN o_orderkey % 3 = 0 THEN 'SOURCE_MISSING' WHEN o_orderkey % 2 = 0 THEN 'EXPIRED' ELSE 'OK' END AS outcome,
+CASE WHEN outcome IN ('OK', 'NO_CONFIGURATION') THEN '{"status":"ok","severity":"info","code":200,"outcome":"' ELSE '{"status":"error","severity":"error","code":400,"outcome":"' END || outcome || '"}' AS response FROM orders
+""")
+def request_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for each order: by its number it is faulty, of an index without configuration, unknown to the graph, missing in the store, too old, or fine."""
+    docs = table_documents(spark, sf, "orders")
+    n = F.col("doc")["o_orderkey"]
+    mine = key(F.when((n % 7 == 0) & (n % 11 != 0), F.lit("nowhere")).otherwise(F.lit("shop")), "orders", F.col("key")["id"])
+    asked = docs.select(mine.alias("key"), F.when(n % 2 == 0, 2).otherwise(1).cast("long").alias("version"), (n % 11 != 0).alias("valid"))
+    made = req.judged(asked, docs.where(n % 3 != 0), docs.where(n % 5 != 0).select("key", "version"), c.registry().table(spark))
+    return recompute.rendered(made).select(F.concat(F.lit("shop/orders/"), F.col("key")["id"]).alias("key"), F.col("status").alias("outcome"), "response")
+
+
+@query("""
+SELECT event_id, floor(value + 0.5)::BIGINT AS rounded, trunc(-value)::BIGINT AS whole, least(greatest(value, 10), 20) AS clamped,
+epoch_us(ts::TIMESTAMP) // 1000 AS ms, strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, dayofweek(ts)::INT AS weekday, epoch_us(ts::TIMESTAMP) // 1000 AS again FROM events
+""")
+def scalar_math_date(spark: SparkSession, sf: str) -> DataFrame:
+    v, t = F.col("value"), F.col("ts")
+    ms = scalars.epoch_ms(t)
+    return table(spark, sf, "events").select(
+        "event_id", scalars.half_up(v).cast("long").alias("rounded"), scalars.truncated(-v).cast("long").alias("whole"), scalars.clamped(v, 10.0, 20.0).alias("clamped"),
+        ms.alias("ms"), scalars.iso(t).alias("iso"), scalars.weekday(t).alias("weekday"), scalars.epoch_ms(scalars.from_epoch_ms(ms)).alias("again"),
+    )
 
 
 __all__ = ["QUERIES", "SQL", "oriented"]

@@ -131,5 +131,8 @@ def test_scopes(spark):
 
 
 def test_random_graph(spark):
-    a, b = (sorted(r.e for r in graph.random_graph(spark, 30, 0.8).select(F.concat(key_text("tail"), key_text("head")).alias("e")).collect()) for _ in range(2))
-    assert a == b and 100 < len(a) < 260
+    numbers = spark.range(300).withColumnRenamed("id", "n")
+    made = [(int(r.tail.id), int(r.head.id), int(r.owner.id)) for r in graph.random_graph(numbers, 0.4).collect()]
+    assert all(a != b and max(a, b) < n for a, b, n in made) and len({n for _, _, n in made}) == len(made)
+    assert 120 < len(made) < 220 and sorted(made) == sorted((int(r.tail.id), int(r.head.id), int(r.owner.id)) for r in graph.random_graph(numbers.repartition(3), 0.4).collect())
+    assert graph.random_graph(numbers, 1.0).count() == 0

@@ -21,12 +21,12 @@ def star():
 
 
 def test_owned_edges_of_all_documents(spark, star):
-    assert sorted(tuple(r) for r in q.QUERIES["graph_owned_edges_all"](spark, SF).collect()) == sorted(star)
+    assert sorted(tuple(r) for r in q.QUERIES["graph_owned_edges"](spark, SF).collect()) == sorted(star)
 
 
 def test_unfold_of_all_documents(spark, star):
     want = {("an", end) for tail, _, head in star for end in (tail, head)} | {("ae", f"{tail}--{label}->{head}") for tail, label, head in star}
-    got = [tuple(r) for r in q.QUERIES["delta_unfold_all"](spark, SF).collect()]
+    got = [tuple(r) for r in q.QUERIES["delta_unfold"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
 
 
