@@ -95,8 +95,9 @@ def lengths(col: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.fromiter((len(x) for x in col.to_pylist()), np.int64, len(col)) // np.dtype(dtype).itemsize
 
 
-def hot_seeds(based: DataFrame, n: int, seeds: Seeds) -> np.ndarray:
-    """The hot seeds, sorted: those with more than HOT_RUNS runs, and more than a HOT_SEEDS-th of all, so there are at most HOT_SEEDS. Counted are seeds that
+def hot_seeds(based: DataFrame, n: int, runs_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The hot seeds, sorted: those with more than HOT_RUNS runs, and more than a HOT_SEEDS-th of all, so there are at most HOT_SEEDS.
+    runs_of gives the seeds of a block's runs. Counted are seeds that
     a task meets twice in FLUSH_BYTES of text; a seed that it meets once there is far from hot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def hot_seeds(based: DataFrame, n: int, seeds: Seeds) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(runs, pa.int64())], names=["bucket", "keys", "counts", "runs"])
 
         for _, buf, off in K.pieces(batches):
-            gathered.append(seeds(buf, off)[0])
+            gathered.append(runs_of(buf, off))
             size += len(buf)
             if size >= FLUSH_BYTES:
                 yield send()

@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: lis
         pair = np.unique(np.stack((owner[at].astype(np.uint64), seed[at])), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
         return pair[1].copy(), pair[0].astype(np.int64), np.zeros(pair.shape[1], bool)
 
-    hot = docs.sparkSession.sparkContext.broadcast(R.hot_seeds(based, n, seeds))
+    hot = docs.sparkSession.sparkContext.broadcast(R.hot_seeds(based, n, lambda buf, off: seeds(buf, off)[0]))
     shared = R.shared_seeds(based, n, seeds)
 
     def ids(rows: pa.RecordBatch) -> np.ndarray:

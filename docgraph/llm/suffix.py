@@ -76,19 +76,33 @@ def _induce(s: np.ndarray, is_s: np.ndarray, starts: list[np.ndarray], run: np.n
 
 
 def _rank_doubling(names: np.ndarray) -> np.ndarray:
-    """Sorted positions of the suffixes of the reduced string."""
-    n, rank, h = len(names), names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - h)] = rank[h:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        rank[order] = new
-        if not n or new[-1] == n - 1:
-            return order
+    """Sorted positions of the suffixes of the reduced string: ranks by as many names as fit a number, then, among equal ranks only, by twice as many each round."""
+    n = len(names)
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = int(names.max() + 1).bit_length()
+    h = max(1, 62 // bits)
+    padded = np.concatenate((names.astype(np.int64) + 1, np.zeros(h, np.int64)))
+    key = np.zeros(n, np.int64)
+    for j in range(h):
+        key = key << bits | padded[j : j + n]
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1  # the end
+    at, key = np.arange(n), key[order]
+    while len(at):
+        head = np.ones(len(at), bool)
+        head[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(at)))
+        rank[order[at]] = np.repeat(at[first], size)
+        at = at[np.repeat(size > 1, size)]
+        mine = order[at]
+        key = rank[mine] * (n + 1) + rank[np.minimum(mine + h, n)] + 1
+        by = np.argsort(key, kind="stable")
+        order[at], key = mine[by], key[by]
         h *= 2
+    return order
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -118,7 +132,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     del left, right
     ordered = ordered[rank_of[ordered] >= 0] if len(lms) else lms
     if len(lms) and len(ordered) < len(lms):  # the end is a start that nothing induces
-        ordered = np.concatenate((np.setdiff1d(lms, ordered), ordered))
+        rest = np.ones(len(lms), bool)
+        rest[rank_of[ordered]] = False
+        ordered = np.concatenate((lms[rest], ordered))
     if len(lms) > 1:
         stop = np.append(lms[1:] + 1, n)
         pre = K.prefix(K.BYTE[(s % 256).astype(np.uint8)] + s, K.BASE)

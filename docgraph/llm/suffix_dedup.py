@@ -112,7 +112,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         a, _ = _runs(seed, ok)
         return seed[a], np.searchsorted(off, a, "right") - 1, R.within(seed[a], several)
 
-    hot = docs.sparkSession.sparkContext.broadcast(R.hot_seeds(based, n_batches, seeds))
+    def runs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        seed, ok = _windows(buf, off, window, gram)
+        return seed[_runs(seed, ok)[0]]
+
+    hot = docs.sparkSession.sparkContext.broadcast(R.hot_seeds(based, n_batches, runs))
     shared = R.shared_seeds(based, n_batches, seeds)
 
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
