@@ -43,7 +43,7 @@ from .repeats import by_group, narrow, unblob, widen
 #: Hash of the token before the first word and of the end.
 START, END = K.U64(0x243F6A8885A308D3), K.U64(0x13198A2E03707344)
 SHARD_BYTES = 10 << 20
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 12 << 20
 #: Files that a worker keeps mapped.
 OPEN = 4096
 KINDS = ("once", "pair", "word")
