@@ -5,7 +5,7 @@ directions a_i. A query visits its own bucket and those that differ by one step
 the order of their estimated success: the sum of squared distances to the crossed borders, least first.
 Candidates of all tables are reranked by exact cosine in double precision.
 
-Number of directions, width and number of visits are fitted: `FIT_QUERIES` queries (chosen by hash) are compared with all rows, and of the
+A query visits `PROBES` buckets of each table, whatever the data. Number of directions and width are fitted: `FIT_QUERIES` queries (chosen by hash) are compared with all rows, and of the
 plans that find `RECALL` of their true neighbours the one is taken that visits the least share of `FIT_ROWS` rows (chosen by hash). So recall is
 measured on the data at hand, and the share of candidates follows how near neighbours are: half of all rows on isotropic vectors, which
 have no near neighbours, and well under a hundredth on clustered ones (README). Every row is indexed.
@@ -40,6 +40,7 @@ from .common import checkpointed
 TABLES = 8
 PART = 4096
 CHANGES = 3
+PROBES = 300
 #: Bytes of vectors in a shard, and in a block where queries are compared with all vectors.
 SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 8 << 20
@@ -48,8 +49,7 @@ SEED = 7
 FIT_QUERIES = 96
 FIT_ROWS = 512
 HASHES = (8, 12, 16)
-WIDTHS = (1.0, 1.5, 2.0, 3.0)
-PROBES = (10, 30, 100, 300, 600, 1200)
+WIDTHS = (1.0, 1.5, 2.0, 3.0, 4.0)
 RECALL = 0.95
 
 
@@ -120,8 +120,8 @@ class Family:
 class Plan:
     """The fitted numbers, and what the sample says of them."""
 
-    def __init__(self, hashes: int, width: float, probes: int, recall: float, share: float):
-        self.hashes, self.width, self.probes, self.recall, self.share = hashes, width, probes, recall, share
+    def __init__(self, hashes: int, width: float, recall: float, share: float):
+        self.hashes, self.width, self.recall, self.share = hashes, width, recall, share
 
 
 def choose(queries: np.ndarray, near: np.ndarray, of: np.ndarray, rows: np.ndarray, tables: int, recall: float) -> Plan:
@@ -133,8 +133,8 @@ def choose(queries: np.ndarray, near: np.ndarray, of: np.ndarray, rows: np.ndarr
     for hashes, width in itertools.product(HASHES, WIDTHS):
         family = Family(queries.shape[1], tables, hashes, width * base)
         found, met = family.visits(queries, near, of, np.arange(len(near))), family.visits(queries, rows, q, r)
-        plans += [Plan(hashes, width * base, n, float((found <= n).mean()) if len(found) else 1.0, float((met <= n).mean()) if len(met) else 0.0) for n in PROBES]
-    return min(plans, key=lambda p: (max(0.0, recall - p.recall), p.share, p.probes))
+        plans.append(Plan(hashes, width * base, float((found <= PROBES).mean()) if len(found) else 1.0, float((met <= PROBES).mean()) if len(met) else 0.0))
+    return min(plans, key=lambda p: (max(0.0, recall - p.recall), p.share, p.hashes))
 
 
 def _scaled(raw: pa.ChunkedArray | pa.Array, dim: int, kind: type) -> np.ndarray:
@@ -232,7 +232,7 @@ def _search(rows: DataFrame, queries: DataFrame, n: int, dim: int, kind: type, k
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 place = family.places(_units(part.column(1), dim, kind))
                 for t in range(tables):
-                    keys = family.keys(family.probes(place[t], plan.probes), t)
+                    keys = family.keys(family.probes(place[t], PROBES), t)
                     yield pa.RecordBatch.from_arrays([pa.array(K.signed(keys.reshape(-1))), pa.array(np.repeat(np.asarray(part.column(0)), keys.shape[1]))], names=["bucket", "row"])
 
     source = rows.select("row", "id", "v")

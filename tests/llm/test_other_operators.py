@@ -139,10 +139,10 @@ def test_recall_and_share_of_candidates(dim):
             fitted, held = np.arange(96), np.arange(96, 176)
             plan = neighbours.choose(x[fitted], x[truth(fitted)], np.repeat(np.arange(96), 5), x[rng.choice(n, 512)], neighbours.TABLES, neighbours.RECALL)
             family = neighbours.Family(dim, neighbours.TABLES, plan.hashes, plan.width)
-            found = family.visits(x[held], x[truth(held)], np.repeat(np.arange(80), 5), np.arange(400)) <= plan.probes
+            found = family.visits(x[held], x[truth(held)], np.repeat(np.arange(80), 5), np.arange(400)) <= neighbours.PROBES
             q, r = np.divmod(np.arange(80 * n), n)
-            share = (family.visits(x[held], x, q, r) <= plan.probes).mean()
-            print(dim, n, kind, plan.hashes, plan.probes, "recall", found.mean(), "share", share)
+            share = (family.visits(x[held], x, q, r) <= neighbours.PROBES).mean()
+            print(dim, n, kind, plan.hashes, round(plan.width, 2), "recall", found.mean(), "share", share)
             assert found.mean() >= 0.9
             if kind == "clustered":
                 shares.append(share)
