@@ -49,7 +49,7 @@ SEED = 7
 FIT_QUERIES = 96
 FIT_ROWS = 512
 HASHES = (8, 12, 16)
-WIDTHS = (1.0, 1.5, 2.0, 3.0, 4.0)
+WIDTHS = (1.25, 1.5, 2.0, 2.5, 3.0, 3.3, 3.6, 4.0)
 RECALL = 0.95
 
 
