@@ -63,7 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", language_model.fold("doc_id", 5) == 1)
-    model = language_model.train(docs.where("NOT coalesce(held_out, false)"))
+    model = language_model.train(docs.where("NOT coalesce(held_out, false)"), order=3)
     found = language_model.score(docs, model)
     # a row of numbers for each document; the model isn't needed any more
     found = checkpointed(found.select("doc_id", (language_model.fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))

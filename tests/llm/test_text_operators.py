@@ -364,6 +364,74 @@ def test_language_model(spark, docs, empty):
     assert language_model.score(empty, model).count() == 0
 
 
+def ngram_brute(train, tests, order):
+    """The interpolated model from its definition, order by order, on word lists."""
+    import math
+    from collections import Counter
+
+    def padded(t):
+        return [*["<s>"] * (order - 1), *t.lower().split(), None]
+
+    count = {order: Counter()}
+    for t in map(padded, train):
+        count[order].update(tuple(t[i - order + 1 : i + 1]) for i in range(order - 1, len(t)))
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+    after = {k: {} for k in count}
+    for k, of in count.items():
+        for g, n in of.items():
+            after[k].setdefault(g[:-1], []).append(n)
+    d = {k: [0, *language_model._discounts(*(sum(1 for n in of.values() if min(n, 5) == j) for j in range(1, 5)))] for k, of in count.items()}
+    v = len(count[1])
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (v + 1)
+        have = after[k].get(g[:-1])
+        if not have:
+            return p(g[1:])
+        return (max(count[k][g] - d[k][min(count[k][g], 3)], 0) + sum(d[k][min(n, 3)] for n in have) * p(g[1:])) / sum(have)
+
+    texts = [padded(t or "") for t in tests]
+    return [sum(math.log10(p(tuple(t[i - order + 1 : i + 1]))) for i in range(order - 1, len(t))) for t in texts], p
+
+
+@pytest.mark.parametrize(("order", "split"), [(2, 1 << 18), (3, 1 << 18), (3, 1), (5, 3)])
+def test_language_models_of_all_orders(spark, order, split):
+    rows = [(i, t) for i, t in corpus() if t is None or t.isascii()]
+    train = [(t or "") for i, t in rows if i % 2]
+    model = language_model.train(spark.createDataFrame([(i, t) for i, t in rows if i % 2], DOC), order, split)
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, DOC), model).collect()}
+    want, p = ngram_brute(train, [t for _, t in rows], order)
+    assert [got[i] for i, _ in rows] == pytest.approx(want)
+    # the definition itself: what can follow sums to one, with one unknown word
+    vocabulary = {w for t in train for w in t.lower().split()} | {None, "<unknown>"}
+    for context in (["<s>"] * (order - 1), [*["<s>"] * order, *train[0].lower().split()][-order + 1 :]):
+        assert sum(p((*context, w)) for w in vocabulary) == pytest.approx(1)
+    with pytest.raises(ValueError, match="order"):
+        language_model.train(spark.createDataFrame(rows, DOC), 1)
+
+
+def test_packages_keep_numbers():
+    for most in (0, 1, 255, 2**32, 2**64 - 1):
+        columns = [np.array([0, most, 1], np.uint64), np.array([5, 5, 5])]
+        assert [c.tolist() for c in language_model.unpack(language_model.pack(columns))] == [[0, most, 1], [5, 5, 5]]
+    assert [len(c) for c in language_model.unpack(language_model.pack([np.zeros(0, np.int64)] * 3))] == [0, 0, 0]
+
+
+def test_grams_are_found_by_hash(tmp_path):
+    rng = np.random.default_rng(3)
+    files = language_model.Files(f"file://{tmp_path}")
+    for shard, n in enumerate((0, 1, 15, 5000)):
+        keys = rng.integers(0, 2**64, n, np.uint64)
+        values = [rng.integers(0, 3, n), np.arange(n)]
+        files.save_grams("gram3", shard, keys, values)
+        asked = np.concatenate((keys, rng.integers(0, 2**64, 100, np.uint64)))
+        got = files.find_grams("gram3", asked, np.full(len(asked), shard), 2)
+        assert all(g.tolist() == [*v.tolist(), *[0] * 100] for g, v in zip(got, values, strict=True))
+
+
 def test_missing_or_cut_model_files_are_errors(spark):
     import os
     from urllib.parse import urlparse
