@@ -9,8 +9,7 @@ words come before the words but the first. These are the counts of the next lowe
 N-grams of the highest order are dealt by the words in the middle, so that most of both sums is done in one shard; what has
 frequent words in the middle is split by the whole n-gram, in parts that the least of their counts asks for. Lower orders go by the whole n-gram.
 
-Storage: files in one folder of the shared checkpoint directory, for each shard: the word hashes with numbers and counts; the numbers with
-what they have as n-grams of one word; and the n-grams of each further order as sorted hashes, of which the leading bits are an index and the next 32 are kept
+Storage: files in one folder of the shared checkpoint directory, for each shard: the word hashes with numbers and counts; and the n-grams of each order as sorted hashes, of which the leading bits are an index and the next 32 are kept
 (an n-gram that isn't there is taken for one that is with a probability of 4e-9, at any size), with a code for their counts. Every shard has all
 files, also if it is empty, and a file says how long it is: a worker that doesn't find a file whole fails, instead of taking its words for unknown ones.
 Workers map shards into memory (the last `OPEN` of them) and look up a block's distinct hashes in sorted order.
@@ -52,6 +51,8 @@ FLUSH_BYTES = 12 << 20
 SPLIT = 1 << 18
 #: Files that a worker keeps mapped.
 OPEN = 4096
+#: Codes from here on take more than a byte.
+RARE = 255
 #: Columns of an n-gram: its count; as context: n-grams of count 1, 2, 3 and more, sum of counts.
 COLUMNS = 5
 ROWS = "shard int, kind int, data binary"
@@ -187,7 +188,7 @@ class Files:
         name = f"{self.path}/{kind}-{shard}"
         if not os.path.exists(name):
             raise FileNotFoundError(f"{name}: a file of the language model is missing")
-        raw = np.memmap(name, np.uint8, "r")
+        raw = np.asarray(np.memmap(name, np.uint8, "r"))
         k = int(raw[:8].view(np.int64)[0])
         head = raw[8 : 8 + 16 * k].view(np.int64).reshape(k, 2).tolist()
         if len(raw) != 8 + 16 * k + sum(w * n for w, n in head):
@@ -223,16 +224,22 @@ class Files:
         kinds, code = np.zeros((0, len(values)), np.int64), np.zeros(0, np.int64)
         if len(keys):
             rows, head = _sorted(values)
+            size = np.diff(np.append(head, len(rows)))
+            often = np.argsort(-size, kind="stable")
+            rank = np.empty(len(head), np.int64)
+            rank[often] = np.arange(len(head))
             code = np.empty(len(keys), np.int64)
-            code[rows] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(rows))))
-            kinds, code = np.stack([v[rows[head]] for v in values], 1), code[order]
-        self.save(kind, shard, index, marks, code, kinds.ravel())
+            code[rows] = np.repeat(rank, size)
+            kinds, code = np.stack([v[rows[head[often]]] for v in values], 1), code[order]
+        # the most frequent codes have a byte; the others stand apart, by place
+        rare = np.flatnonzero(code >= RARE)
+        self.save(kind, shard, index, marks, np.minimum(code, RARE).astype(np.uint8), rare, code[rare], kinds.ravel())
 
     def find_grams(self, kind: str, keys: np.ndarray, shard: np.ndarray, columns: int) -> list[np.ndarray]:
         """The values of n-grams by hash and shard, 0 for those that aren't there."""
         out = np.zeros((columns, len(keys)), np.int64)
         for s, part in by_group(shard):
-            index, marks, code, kinds = self.load(kind, s)
+            index, marks, code, rare, codes, kinds = self.load(kind, s)
             if not len(code):
                 continue
             bits = (len(index) - 1).bit_length() - 1
@@ -247,7 +254,11 @@ class Files:
                 low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
             at = np.minimum(low, last)
             ok = (low < end) & (marks[at] == mark)
-            out[:, part[ok]] = kinds.reshape(-1, columns)[code[at[ok]].astype(np.int64)].T
+            at = at[ok]
+            of = code[at].astype(np.int64)
+            far = np.flatnonzero(of == RARE)
+            of[far] = codes[np.searchsorted(rare, at[far])]
+            out[:, part[ok]] = kinds.reshape(-1, columns)[of].T
         return list(out)
 
 
@@ -433,7 +444,7 @@ def _store_ones(folder: str, order: int):
     def store(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         (ids,), values = _received(table, 1, False)
-        Files(folder).save("one", shard, ids.astype(np.uint64), *values)
+        Files(folder).save_grams("gram1", shard, gram_hash([ids]), values)
         sums = _sums(table, 1, order, values[0])
         names = [f"{k}_{j}" for k in range(1, order + 1) for j in range(1, 6)] + ["before"]
         return pa.table({"name": names, "n": [*sums.ravel().tolist(), int(values[0].sum())]})
@@ -476,9 +487,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = grams(ids, first, order)
             own, back = np.unique(np.concatenate((columns[-2], ids)), return_inverse=True)
             known = own >= 0
-            ones = [np.zeros(len(own), np.int64) for _ in range(COLUMNS)]
-            for x, found in zip(ones, files.find("one", shards, own[known].astype(np.uint64), COLUMNS), strict=True):
-                x[known] = found
+            ones = np.zeros((COLUMNS, len(own)), np.int64)
+            ones[:, known] = np.stack(files.find_grams("gram1", gram_hash([own[known]]), own[known] % shards, COLUMNS))
             before, w = np.split(back, 2)
             c = ones[0][w]
             p = (np.maximum(c - d[0][np.minimum(c, 3)], 0) / total if total else 0.0) + rest / (v + 1)

@@ -53,7 +53,12 @@ def by_group(key: np.ndarray, n_sorted: bool = False) -> Iterator[tuple[int, np.
     """(value, positions) for each value of key."""
     if not len(key):
         return
-    order = np.arange(len(key)) if n_sorted else np.argsort(key, kind="stable")
+    if n_sorted:
+        order = np.arange(len(key))
+    else:
+        # two bytes are sorted by radix
+        short = key.astype(np.uint16) if int(key.min()) >= 0 and int(key.max()) < 1 << 16 else key
+        order = np.argsort(short, kind="stable")
     cut = np.flatnonzero(np.diff(key[order])) + 1
     for part in np.split(order, cut):
         yield int(key[part[0]]), part
