@@ -100,6 +100,13 @@ def _sorted(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts rows by columns, and where different rows begin in it."""
     n = len(columns[0])
     bits = [int(c.max()).bit_length() if n else 0 for c in columns]
+    if sum(bits) >= 64:
+        # ranks keep the order, in fewer bits
+        columns = list(columns)
+        for k in np.argsort(bits)[::-1].tolist():
+            if sum(bits) >= 64:
+                known, columns[k] = np.unique(columns[k], return_inverse=True)
+                bits[k] = len(known).bit_length()
     if sum(bits) < 64:
         packed = np.zeros(n, np.uint64)
         for c, b in zip(columns, bits, strict=True):

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -420,6 +421,17 @@ def test_packages_keep_numbers():
     assert [len(c) for c in language_model.unpack(language_model.pack([np.zeros(0, np.int64)] * 3))] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("most", [8, 1 << 30, 1 << 62])
+def test_rows_are_added_up_in_order(most):
+    """Columns that fit 64 bits together, by rank, and not at all."""
+    rng = np.random.default_rng(most)
+    columns = [rng.integers(0, most, 40)[rng.integers(0, 40, 3000)] for _ in range(15 if most > 1 << 40 else 3)]
+    columns[2] = columns[2] % 3
+    got, (n,) = language_model.add_up(columns, [np.ones(3000, np.uint8)])
+    want = Counter(zip(*(c.tolist() for c in columns), strict=True))
+    assert [*zip(*(c.tolist() for c in got), strict=True)] == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
+
+
 def test_grams_are_found_by_hash(tmp_path):
     rng = np.random.default_rng(3)
     files = language_model.Files(f"file://{tmp_path}")
