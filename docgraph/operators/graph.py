@@ -52,6 +52,11 @@ def incident(edges: DataFrame, keys: DataFrame, direction: str) -> DataFrame:
     return keys.select("key").join(edges.select(F.col(at).alias("key"), "label", F.col(other).alias("other")), "key")
 
 
+def ownable(owner: Column, version: Column, me: Column) -> Column:
+    """Whether a document may take a vertex: nobody or itself (in any version) owns it, or it is only referred to (version 0)."""
+    return owner.isNull() | owner.eqNullSafe(me) | (version == 0)
+
+
 def opposite(edge_tail: Column, edge_head: Column, me: Column) -> Column:
     return F.when(edge_head == me, edge_tail).otherwise(edge_head)
 

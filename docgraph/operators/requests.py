@@ -41,3 +41,14 @@ def match_configs(documents: DataFrame, configs: DataFrame) -> DataFrame:
     k = F.col("key")
     on = (k["index"] == F.col("source_index")) & (F.col("source_type").isNull() | (k["type"] == F.col("source_type")))
     return documents.join(F.broadcast(configs), on, "left")
+
+
+#: From the widest scope to the narrowest.
+SCOPES = ("INDEX", "TYPE_IN_INDEX", "DOCUMENT_ANY_VERSION", "DOCUMENT")
+
+
+def in_scope(scope: Column, of: Column) -> Column:
+    """Whether a request of one scope lies within another, which must be as wide at least; null for unknown scopes."""
+    known = F.array(*[F.lit(s) for s in SCOPES])
+    place = lambda c: F.nullif(F.array_position(known, c), F.lit(0))
+    return place(of) <= place(scope)

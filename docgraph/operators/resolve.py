@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 OK, EXPIRED, MISSING = "OK", "EXPIRED", "MISSING"
 
 
+def get(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """Requests (key, ...) with the document of any version, its version (stored), and whether there is one (found)."""
+    store = documents.select("key", F.col("version").alias("stored"), "doc")
+    return requests.join(store, "key", "left").withColumn("found", F.col("stored").isNotNull())
+
+
 def get_versioned(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """Requests (key, version, ...) with the document and a status: missing, or expired where the store has another version."""
     store = documents.select("key", F.col("version").alias("stored"), "doc")

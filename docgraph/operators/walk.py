@@ -141,3 +141,26 @@ def flattened(trees: DataFrame) -> DataFrame:
 def pretty(trees: DataFrame) -> DataFrame:
     """root, seq, line: each vertex indented by two spaces for each level."""
     return trees.select("root", "seq", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.concat_ws("/", "node.index", "node.type", "node.id")).alias("line"))
+
+
+def first_visits(visits: DataFrame, of: list[str], order: str) -> DataFrame:
+    """The first of all visits that agree in the columns of; order tells which is first, and no two agree in both."""
+    rest = [c for c in visits.columns if c not in of]
+    made = visits.groupBy(*of).agg(F.min_by(F.struct(*rest), order).alias("first"))
+    return made.select(*[F.col(c) if c in of else F.col("first")[c].alias(c) for c in visits.columns])
+
+
+def any_stop(*stops: Column) -> Column:
+    """Stops where one of several conditions does; an unknown one doesn't."""
+    return F.greatest(*[F.coalesce(s, F.lit(False)) for s in (*stops, F.lit(False), F.lit(False))])
+
+
+def in_tree(trees: DataFrame, wanted: DataFrame) -> DataFrame:
+    """root, node: those of the wanted pairs whose node stands in the root's tree (or reach)."""
+    return wanted.select("root", "node").join(trees.select("root", "node"), ["root", "node"], "left_semi")
+
+
+def map_tree(trees: DataFrame, documents: DataFrame, value: Column) -> DataFrame:
+    """The trees, node by node in the same shape, with value: an expression over each node's document (doc), which is null if there is none."""
+    store = documents.select(F.col("key").alias("node"), "doc")
+    return trees.join(store, "node", "left").select(*trees.columns, value.alias("value"))

@@ -458,6 +458,82 @@ def walk_tree(spark: SparkSession, sf: str) -> DataFrame:
     return red.by_tree(walk.tree(reached, edges, IN), store, lambda t: t).select(key_text("root").alias("root"), "value")
 
 
+# --- predicates and operations on trees that stand by themselves
+
+
+@query("""
+SELECT o_orderkey, c_name AS name, CASE WHEN c_custkey IS NULL THEN NULL ELSE 1 END::BIGINT AS stored, c_custkey IS NOT NULL AS found
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND o_orderkey % 10 <> 0
+""")
+def doc_get_any_version(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    id_ = F.when(o["o_orderkey"] % 10 == 0, F.concat(F.lit("none-"), o["o_custkey"])).otherwise(o["o_custkey"].cast("string"))
+    found = resolve.get(o.select("o_orderkey", key("shop", "customer", id_).alias("key")), table_documents(spark, sf, "customer"))
+    return found.select("o_orderkey", F.col("doc")["c_name"].alias("name"), "stored", "found")
+
+
+@query("""
+SELECT 'shop/customer/' || o_custkey AS vertex, 'shop/orders/' || o_orderkey AS me, o_orderkey % 4 < 2 OR o_orderkey = first OR o_custkey % 5 = 0 AS ownable
+FROM orders JOIN (SELECT o_custkey AS c, min(o_orderkey) AS first FROM orders GROUP BY o_custkey) ON o_custkey = c
+""")
+def graph_ownable(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether an order may take its customer's vertex: half of the time nobody has it, otherwise the customer's first order; a fifth of the vertices is symbolic."""
+    o = table(spark, sf, "orders")
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    me = key("shop", "orders", "o_orderkey")
+    owner = F.when(F.col("o_orderkey") % 4 >= 2, key("shop", "orders", "first"))
+    version = F.when(F.col("o_custkey") % 5 == 0, 0).otherwise(3)
+    return o.join(first, "o_custkey").select(key_text(key("shop", "customer", "o_custkey")).alias("vertex"), key_text(me).alias("me"), graph.ownable(owner, version, me).alias("ownable"))
+
+
+@query("""
+WITH s AS (SELECT * FROM (VALUES ('INDEX', 1), ('TYPE_IN_INDEX', 2), ('DOCUMENT_ANY_VERSION', 3), ('DOCUMENT', 4)) t(name, n))
+SELECT a.name AS scope, b.name AS of, b.n <= a.n AS contained FROM s a, s b
+""")
+def scope_containment(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = spark.createDataFrame([(a, b) for a in req.SCOPES for b in req.SCOPES], "scope string, of string")
+    return pairs.withColumn("contained", req.in_scope(F.col("scope"), F.col("of")))
+
+
+@query("""
+SELECT user_id, event_type, min(position) AS position FROM
+(SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events) GROUP BY user_id, event_type
+""")
+def walk_first_visits(spark: SparkSession, sf: str) -> DataFrame:
+    seen = c.change_log(spark, sf).select(F.col("key")["id"].cast("long").alias("user_id"), "event_type", F.col("version").alias("position"))
+    return walk.first_visits(seen, ["user_id", "event_type"], "position")
+
+
+@query("SELECT o_orderkey, coalesce(o_totalprice > 200000, false) OR o_custkey % 7 = 0 OR o_orderkey < 10 AS stop FROM orders")
+def walk_stops(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", walk.any_stop(F.col("o_totalprice") > 200000, F.col("o_custkey") % 7 == 0, F.col("o_orderkey") < 10).alias("stop"))
+
+
+@query("""
+SELECT 'shop/orders/' || o_orderkey AS root, 'shop/nation/' || c_nationkey AS node FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = o_orderkey % 25
+""")
+def walk_in_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders whose upward walk meets the nation that the order's number names."""
+    docs, edges = c.star(spark, sf)
+    wanted = docs["orders"].select(F.col("key").alias("root"), key("shop", "nation", F.col("doc")["o_orderkey"] % 25).alias("node"))
+    return walk.in_tree(walk.chain(edges, docs["orders"], OUT, 2), wanted).select(key_text("root").alias("root"), key_text("node").alias("node"))
+
+
+@query("""
+SELECT 'shop/region/' || r_regionkey AS root, 'shop/region/' || r_regionkey AS node, NULL::VARCHAR AS parent, 0::INT AS depth, lower(r_name) AS value FROM region
+UNION ALL SELECT 'shop/region/' || n_regionkey, 'shop/nation/' || n_nationkey, 'shop/region/' || n_regionkey, 1, lower(n_name) FROM nation
+UNION ALL SELECT 'shop/region/' || n_regionkey, 'shop/supplier/' || s_suppkey, 'shop/nation/' || n_nationkey, 2, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey
+""")
+def walk_map_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees below the regions, of the same shape, with names in small letters; suppliers have no document here."""
+    docs = c.documents(spark, sf, "supplier", "nation", "region")
+    edges = c.edges_of(docs)
+    store = docs["region"].select("key", F.struct(F.col("doc")["r_name"].alias("name")).alias("doc")).unionByName(docs["nation"].select("key", F.struct(F.col("doc")["n_name"].alias("name")).alias("doc")))
+    made = walk.map_tree(walk.tree(walk.reach(edges, docs["region"], IN), edges, IN), store, F.lower(F.col("doc")["name"]))
+    return made.select(key_text("root").alias("root"), key_text("node").alias("node"), F.when(F.col("parent").isNotNull(), key_text("parent")).alias("parent"), "depth", "value")
+
+
 # --- reductions
 
 

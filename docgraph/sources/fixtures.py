@@ -9,6 +9,8 @@ from ..config import Registry
 from ..operators import graph
 from ..operators.extract import extract
 from ..operators.recompute import recompute, sources
+from .documents import write_json
+from .store import DocumentStore
 
 
 def verify(actual: DataFrame, expected: DataFrame) -> DataFrame:
@@ -42,3 +44,60 @@ def run(spark: SparkSession, documents: DataFrame, registry: Registry, expected:
         one = t.where("status = 'OK'").select("key", F.to_json("doc").alias("source"))
         actual = one if actual is None else actual.unionByName(one)
     return targets, verify(actual, expected)
+
+
+def development_run(store: DocumentStore, documents: DataFrame, registry: Registry, expected: DataFrame, results: str) -> tuple[int, int]:
+    """Everything from scratch: source and target indexes are deleted and created, documents put in, all targets recomputed, kept in the store,
+    written as JSON to the folder results, and compared with expected (key, source). Numbers of passed and failed documents."""
+    types = [tuple(r) for r in documents.select(F.col("key")["index"].alias("i"), F.col("key")["type"].alias("t")).distinct().collect()]
+    for index in sorted({i for i, _ in types} | {c.target_index for c in registry.configs} | {c.source_index for c in registry.configs}):
+        store.delete(index)
+        store.create(index)
+    for index, kind in types:
+        store.insert(documents, index, kind)
+    targets, _ = run(store.spark, stored(store, registry), registry)
+    for name, made in targets.items():
+        index, kind = name.split("/")
+        store.insert(made.where("status = 'OK'").select("key", "doc", "from_source"), index, kind)
+        write_json(store.read(index, kind).select("key", "doc"), f"{results}/{name}")
+    return _tallied(verify(_written(store, registry), expected))
+
+
+def test_run(store: DocumentStore, registry: Registry, expected: DataFrame) -> tuple[int, int]:
+    """Recomputes what the store holds and compares; nothing is written."""
+    return _tallied(run(store.spark, stored(store, registry), registry, expected)[1])
+
+
+test_run.__test__ = False  # type: ignore[attr-defined]  it isn't a test of this repository
+
+
+def stored(store: DocumentStore, registry: Registry) -> DataFrame:
+    """All documents of the source indexes; types have the columns of all."""
+    out = None
+    for index in sorted({c.source_index for c in registry.configs}):
+        for kind in store.types(index):
+            rows = store.read(index, kind).select("key", "version", "doc.*")
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError("the source indexes hold no documents")
+    return out.select("key", "version", F.struct(*[c for c in out.columns if c not in ("key", "version")]).alias("doc"))
+
+
+def _written(store: DocumentStore, registry: Registry) -> DataFrame:
+    out = None
+    for c in registry.configs:
+        rows = store.read(c.target_index, c.target_type).select("key", F.to_json("doc").alias("source"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _tallied(results: DataFrame) -> tuple[int, int]:
+    row = tally(results).first()
+    return row.passed, row.failed
+
+
+def run_mode(development: bool, reload: bool, fixtures: bool) -> str | None:
+    """DEVELOPMENT rebuilds the indexes at each change of a configuration, TEST only compares; None: no fixture runs."""
+    if not (reload and fixtures):
+        return None
+    return "DEVELOPMENT" if development else "TEST"

@@ -119,11 +119,43 @@ class Updater:
             self.snapshots.drop_old(self.keep_versions)
         return letters
 
-    def run(self, changes: DataFrame, checkpoint: str, dead_letters: str) -> StreamingQuery:
-        """Follows a streaming source of changes; dead letters go to the folder, one part for each micro-batch, which a replay of the batch replaces."""
+    def flush(self) -> None:
+        """Forgets the changes that wait."""
+        names = ("committed", "edges", "results", *(self.table(c) for c in self.configs))
+        self.snapshots.commit(waiting=self.snapshots.read("waiting").limit(0), **{n: self.snapshots.read(n) for n in names})
+
+    def run(self, changes: DataFrame, checkpoint: str, dead_letters: str, interval: str | None = None) -> StreamingQuery:
+        """Follows a streaming source of changes; dead letters go to the folder, one part for each micro-batch, which a replay of the batch replaces.
+
+        interval: time between micro-batches of a query that goes on; without it the query ends once all changes are applied.
+        """
 
         def batch(df: DataFrame, number: int) -> None:
             if not df.isEmpty():
                 self.apply(df, int(time.time() * 1000)).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
 
-        return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        when = {"processingTime": interval} if interval else {"availableNow": True}
+        return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**when).start()
+
+
+class Feed:
+    """An updater's query that can be paused: changes that come meanwhile stay in the source, and the checkpoint says where to go on."""
+
+    def __init__(self, updater: Updater, changes: Callable[[], DataFrame], checkpoint: str, dead_letters: str, interval: str | None = None):
+        self.updater, self.changes, self.checkpoint, self.dead_letters, self.interval = updater, changes, checkpoint, dead_letters, interval
+        self.query: StreamingQuery | None = None
+
+    @property
+    def running(self) -> bool:
+        return self.query is not None and self.query.isActive
+
+    def resume(self) -> StreamingQuery:
+        if not self.running:
+            self.query = self.updater.run(self.changes(), self.checkpoint, self.dead_letters, self.interval)
+        return self.query  # type: ignore[return-value]
+
+    def pause(self) -> None:
+        """Stops after the micro-batch at hand; one that is cut short is done again."""
+        if self.query is not None:
+            self.query.stop()
+            self.query = None

@@ -11,8 +11,9 @@ from docgraph.operators.recompute import recompute
 from docgraph.sources import changes, fixtures
 from docgraph.sources.documents import json_folder, read_json, valid_json, write_json, write_targets
 from docgraph.storage import Snapshots
-from docgraph.streaming.deltas import write_deltas
-from docgraph.streaming.updater import Updater, backoff, split_dead
+from docgraph.sources.store import DocumentStore, Overflow
+from docgraph.streaming.deltas import Channels, write_deltas
+from docgraph.streaming.updater import Feed, Updater, backoff, split_dead
 
 REFS = (References("r", "s", "t", lambda d: F.filter(F.split(d["source"], ","), lambda x: x != "")),)
 CFG = SourceConfig("out", "t", "s", "t", REFS, walks=(Walk("in", IN, (Property("n", lambda d: F.count("*"), empty=0), Property("who", lambda d: F.sort_array(F.collect_list(d["source"]))))),))
@@ -161,3 +162,81 @@ def test_fixture_files_and_run(spark, tmp_path):
     assert fixtures.affected_configs(Registry([CFG]), ["s"]) == ["out/t"]
     write_targets(targets["out/t"], f"file://{tmp_path}/written")
     assert spark.read.parquet(f"{tmp_path}/written").count() == 2
+
+
+def test_store_creates_and_deletes_indexes(spark, tmp_path):
+    d = store(spark, {"1": (1, "2"), "2": (1, "")})
+    kept = DocumentStore(spark, f"file://{tmp_path}/store")
+    with pytest.raises(FileNotFoundError):
+        kept.insert(d, "s", "t")
+    kept.create("s")
+    with pytest.raises(FileExistsError):
+        kept.create("s")
+    kept.insert(d, "s", "t")
+    kept.insert(d.withColumn("key", key("s", "t", F.lit("3"))).limit(1), "s", "t")
+    assert kept.types("s") == ["t"] and sorted(r.key.id for r in kept.read("s", "t").collect()) == ["1", "2", "3"]
+    assert kept.delete("s") and not kept.delete("s") and kept.types("s") == []
+
+
+def test_development_and_test_runs(spark, tmp_path):
+    d = store(spark, {"1": (1, "2"), "2": (1, "")})
+    kept, registry = DocumentStore(spark, f"file://{tmp_path}/store"), Registry([CFG])
+    want = [(("out", "t", "1"), '{"n":0,"source":"2"}'), (("out", "t", "2"), '{"n":1,"who":["2"],"source":""}')]
+    expected = spark.createDataFrame(want, "key struct<index:string,type:string,id:string>, source string")
+    for _ in range(2):  # a second run starts from scratch as well
+        assert fixtures.development_run(kept, d, registry, expected, f"file://{tmp_path}/results") == (2, 0)
+    assert kept.read("out", "t").count() == 2
+    back = read_json(spark, f"file://{tmp_path}/results/out/t", "struct<source:string,n:long>")
+    assert sorted((r.key.id, r.doc.n) for r in back.collect()) == [("1", 0), ("2", 1)]
+    wrong = expected.withColumn("source", F.replace("source", F.lit("0"), F.lit("5")))
+    assert fixtures.test_run(kept, registry, expected) == (2, 0) and fixtures.test_run(kept, registry, wrong) == (1, 1)
+    assert [fixtures.run_mode(*x) for x in ((True, True, True), (False, True, True), (True, False, True), (True, True, False))] == ["DEVELOPMENT", "TEST", None, None]
+
+
+def test_overflow_comes_back_oldest_first(spark, tmp_path):
+    spool = Overflow(spark, f"file://{tmp_path}/spool")
+    assert spool.load("s") == (None, [])
+    for ms in (1000, 99, 5):
+        spool.save(change(spark, [("UPDATE", str(ms), 1)]), "s", ms)
+    spool.save(change(spark, [("UPDATE", "x", 1)]).withColumn("key", key("s-overflow", "t", F.lit("x"))), "s-overflow", 1)
+    seen = []
+    while (got := spool.load("s", 2))[0] is not None:
+        seen.append(sorted(r.key.id for r in got[0].collect()))
+        spool.drop(got[1])
+    assert seen == [["5", "99"], ["1000"]] and len(spool.chunks("s-overflow")) == 1
+
+
+def test_feed_pauses_and_flushes(spark, tmp_path):
+    state = {"1": (1, "2")}
+    up = Updater(Snapshots(spark, f"file://{tmp_path}/s"), CFG, lambda: store(spark, state))
+    up.start_empty()
+    (tmp_path / "feed").mkdir()
+    feed = Feed(up, lambda: changes.stream(spark, str(tmp_path / "feed"), "s"), f"{tmp_path}/check", f"{tmp_path}/dead", interval="200 milliseconds")
+    feed.resume()
+    assert feed.running and feed.resume() is feed.query
+    feed.pause()
+    assert not feed.running
+    (tmp_path / "feed" / "a.txt").write_text("UPDATE,t,1,0,7\n")
+    assert up.snapshots.current() == 1
+    feed.resume().processAllAvailable()
+    feed.pause()
+    assert [r.key.id for r in up.snapshots.read("waiting").collect()] == ["7"]
+    up.flush()
+    assert up.snapshots.read("waiting").count() == 0 and set(rows(up.snapshots.read("targets"))) == {"1"}
+
+
+def test_channels(spark, tmp_path):
+    d = store(spark, {"1": (1, "2"), "2": (1, "")})
+    edges = extract(d, REFS)
+    channels = Channels(spark, f"file://{tmp_path}/channels")
+    one = d.where("key.id = '1'").select("key")
+    with pytest.raises(KeyError):
+        channels.update("a", edges, one)
+    channels.create("a", edges, one)
+    channels.follow_all("b")
+    lines = lambda n: sorted(r.value for r in spark.read.text(channels.at(n)).collect())
+    assert lines("a") == ['{"ae":{"s/t/1--r->s/t/2":{"size":"1"}}}', '{"an":{"s/t/2":{"size":"1"}}}']
+    channels.publish(spark.createDataFrame([('{"dn":{"s/t/9":{}}}',)], "command string"))
+    assert lines("b") == ['{"dn":{"s/t/9":{}}}'] and len(lines("a")) == 2
+    channels.update("a", edges, one)
+    assert len(lines("a")) == 4
